@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, quality, shards, token_counts
+from . import byte_bpe, chat, decontaminate, quality, secrets, shards, token_counts
 from .common import table
 
 
@@ -21,6 +21,20 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return marked.select("doc_id", "contaminated", "n_items", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), F.round("similarity", 6).alias("similarity"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
@@ -44,7 +58,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_shards, op7_chat, op8_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_shards, op4_secrets, op7_chat, op8_quality, op9_decontaminate)}
 
 ORACLES = {
     "op7_chat": r"""
