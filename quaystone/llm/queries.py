@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, quality, secrets, shards, token_counts
+from . import byte_bpe, chat, decontaminate, near_dups, quality, secrets, shards, token_counts, toxicity
 from .common import table
 
 
@@ -35,6 +35,16 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "contaminated", "n_items", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), F.round("similarity", 6).alias("similarity"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
@@ -58,7 +68,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_shards, op4_secrets, op7_chat, op8_quality, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_shards, op4_secrets, op6_toxicity, op7_chat, op8_quality, op9_decontaminate, op10_near_dups)}
 
 ORACLES = {
     "op7_chat": r"""
