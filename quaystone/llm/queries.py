@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, near_dups, quality, secrets, shards, token_counts, toxicity
+from . import byte_bpe, chat, decontaminate, near_dups, quality, repeats, secrets, shards, token_counts, toxicity
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "contaminated", "n_items", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), F.round("similarity", 6).alias("similarity"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -68,7 +72,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_shards, op4_secrets, op6_toxicity, op7_chat, op8_quality, op9_decontaminate, op10_near_dups)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_shards, op4_secrets, op5_repeats, op6_toxicity, op7_chat, op8_quality, op9_decontaminate, op10_near_dups)}
 
 ORACLES = {
     "op7_chat": r"""
