@@ -142,3 +142,10 @@ def with_copy_number(df: DataFrame, key: str = "doc_id", text: str = "text", nam
 
     by = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first())
     return df.withColumn(name, F.row_number().over(by) - 1)
+
+
+def fixed(df: DataFrame, **columns) -> DataFrame:
+    """Add columns that the optimiser computes once a row: a generator's output is never put into later expressions, lambdas or filters in place of its name."""
+    for name, value in columns.items():
+        df = df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+    return df

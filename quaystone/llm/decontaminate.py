@@ -24,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fixed
+
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15
@@ -40,10 +42,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def _gram_hashes(w: Column, n: int) -> Column:
-    """One hash for each position where n words start; none if there are fewer."""
-    at = lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(w, i + k) for k in range(n))))
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), at)).otherwise(F.array().cast("array<bigint>"))
+def _gram_hashes(v: Column, n: int) -> Column:
+    """One hash for each position where n words start, from the words' hashes; none if there are fewer."""
+    at = lambda i: F.xxhash64(*(F.get(v, i + k) for k in range(n)))
+    return F.when(F.size(v) >= n, F.transform(F.sequence(F.lit(0), F.size(v) - n), at)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _shingles(w: Column) -> Column:
@@ -84,7 +86,8 @@ def needed(length: int) -> int:
 def _windows(anchored: DataFrame, id_column: str, lengths: list[int]) -> DataFrame:
     """Windows of each length that hold enough positions of the benchmark: id, ``__n`` and the words ``__dw``."""
     table = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(max(1, n - SHINGLE + 1)).alias("m"), F.lit(needed(n)).alias("need")) for n in lengths))
-    part = anchored.select(id_column, "__w", "__p", F.explode(table).alias("__l"))
+    part = anchored.select(id_column, "__w", F.col("__p").alias("__q"), F.explode(table).alias("__l"))
+    part = fixed(part, __p=F.transform("__q", lambda x: x["i"])).drop("__q").where(F.size("__p") > 0)
     n, m, need = F.col("__l.n"), F.col("__l.m"), F.col("__l.need")
     total = F.size("__w")
     # A window starts at s where so many positions lie in s .. s + m - 1.
@@ -94,15 +97,17 @@ def _windows(anchored: DataFrame, id_column: str, lengths: list[int]) -> DataFra
     inside = F.when((total >= n) & (F.size("__p") >= need), F.array_distinct(F.flatten(F.transform(begins, lambda i: F.sequence(first(i), last(i))))))
     whole = F.when((total < n) & (F.size("__p") >= F.ceil(m * SIMILARITY - 1e-9)), F.array(F.lit(0)))
     starts = F.coalesce(inside, whole, F.array().cast("array<int>"))
+    at = fixed(part.select(id_column, "__w", n.alias("__n"), "__p", "__l"), __s=starts)
     cut = F.transform("__s", lambda s: F.slice(F.col("__w"), s + 1, F.col("__n")))
-    return part.select(id_column, "__w", n.alias("__n"), starts.alias("__s")).where(F.size("__s") > 0).select(id_column, "__n", F.explode(cut).alias("__dw"))
+    return at.where(F.size("__s") > 0).select(id_column, "__n", F.explode(cut).alias("__dw"))
 
 
 def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (id, item, similarity), one for each document and item it contains, with the best window's similarity."""
     spark = docs.sparkSession
-    bench = items.select(F.col(item_id).alias("__item"), words(F.col(item_text)).alias("__iw")).where(F.size("__iw") > 0)
-    grams = F.when(F.size("__iw") >= SHINGLE, _gram_hashes(F.col("__iw"), SHINGLE)).otherwise(F.array(F.xxhash64(F.array_join("__iw", " "))))
+    bench = fixed(items.select(F.col(item_id).alias("__item"), F.col(item_text).alias("__t")), __iw=words(F.col("__t"))).drop("__t").where(F.size("__iw") > 0)
+    bench = fixed(bench, __iv=F.transform("__iw", lambda w: F.xxhash64(w)))
+    grams = F.coalesce(*(F.when(F.size("__iv") >= n, _gram_hashes(F.col("__iv"), n)) for n in range(SHINGLE, 0, -1)))
     hashed = bench.select(F.explode(grams).alias("h")).distinct()
     facts = bench.agg(F.sort_array(F.collect_set(F.size("__iw"))).alias("lengths")).first()  # as many as distinct lengths
     count = hashed.count()
@@ -115,27 +120,34 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text:
     slot = lambda h: F.call_function("shiftrightunsigned", h, F.lit(6)).bitwiseAND(F.lit(size - 1))
     bit = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
     grid = [0] * size
-    for row in hashed.select(slot(F.col("h")).alias("s"), bit(F.col("h")).alias("b")).distinct().toLocalIterator():  # the benchmark's, bounded by BITMAP_LOAD * size
+    probes = hashed.select(F.explode(F.array("h", F.xxhash64("h", F.lit(1)))).alias("h"))
+    for row in probes.select(slot(F.col("h")).alias("s"), bit(F.col("h")).alias("b")).distinct().collect():  # the benchmark's, bounded by BITMAP_LOAD * size
         grid[row["s"]] |= 1 << row["b"]
     literal = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in grid)
     bitmap = F.split(F.lit(literal), ",").cast("array<bigint>")
-    marked = lambda h: F.getbit(F.get(bitmap, slot(h).cast("int")), bit(h)) == 1
+    probe = lambda h: F.getbit(F.get(bitmap, slot(h).cast("int")), bit(h)) == 1
+    marked = lambda h: probe(h) & probe(F.xxhash64(h, F.lit(1)))
 
-    base = docs.select(F.col(id_column), words(F.col(text)).alias("__w")).where(F.size("__w") > 0)
+    base = fixed(docs.select(F.col(id_column), F.col(text).alias("__t")), __w=words(F.col("__t"))).drop("__t")
+    base = fixed(base, __v=F.transform("__w", lambda w: F.xxhash64(w)))
     found = None
     sizes = [(SHINGLE, [n for n in facts["lengths"] if n >= SHINGLE]), *((n, [n]) for n in facts["lengths"] if n < SHINGLE)]
     for gram, own in sizes:
-        hashes = base.withColumn("__h", _gram_hashes(F.col("__w"), gram))
-        positions = F.filter(F.transform("__h", lambda h, i: F.when(marked(h), i)), lambda i: i.isNotNull())
+        hashes = fixed(base, __h=_gram_hashes(F.col("__v"), gram))
+        positions = F.filter(F.transform("__h", lambda h, i: F.when(marked(h), F.struct(i.alias("i"), h.alias("h")))), lambda x: x.isNotNull())
         # Any window needs one position at least, so documents without can go at once.
-        anchored = hashes.select(id_column, "__w", positions.alias("__p")).where(F.size("__p") > 0)
+        if not own:
+            continue
+        # No window of any length can match with fewer positions than the shortest whole document needs.
+        fewest = min(math.ceil(max(1, n - SHINGLE + 1) * SIMILARITY - 1e-9) for n in own)
+        anchored = fixed(hashes, __p=positions).drop("__h", "__v").where(F.size("__p") >= fewest)
         for lo in range(0, len(own), MOST_LENGTHS):
             windows = _windows(anchored, id_column, own[lo : lo + MOST_LENGTHS])
             found = windows if found is None else found.unionByName(windows)
 
     key = lambda p: F.explode(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda k: F.struct(k.alias("k"), _block(p, k).alias("v"))))
-    left = found.withColumn("__dp", simhash(F.col("__dw"))).distinct().select("*", key(F.col("__dp")).alias("__b")).select(id_column, "__n", "__dw", "__dp", F.col("__b.k").alias("__k"), F.col("__b.v").alias("__v"))
-    right = bench.withColumn("__ip", simhash(F.col("__iw"))).withColumn("__n", F.size("__iw")).select("__item", "__iw", "__ip", "__n", key(F.col("__ip")).alias("__b")).select("__item", "__iw", "__ip", "__n", F.col("__b.k").alias("__k"), F.col("__b.v").alias("__v"))
+    left = fixed(found.distinct(), __dp=simhash(F.col("__dw"))).select("*", key(F.col("__dp")).alias("__b")).select(id_column, "__n", "__dw", "__dp", F.col("__b.k").alias("__k"), F.col("__b.v").alias("__v"))
+    right = fixed(bench, __ip=simhash(F.col("__iw"))).withColumn("__n", F.size("__iw")).select("__item", "__iw", "__ip", "__n", key(F.col("__ip")).alias("__b")).select("__item", "__iw", "__ip", "__n", F.col("__b.k").alias("__k"), F.col("__b.v").alias("__v"))
     near = F.bit_count(F.col("__dp").bitwiseXOR(F.col("__ip"))) <= RADIUS
     pairs = left.join(right, ["__n", "__k", "__v"]).where(near & (_first_equal_block(F.col("__dp"), F.col("__ip")) == F.col("__k")))
     scored = pairs.withColumn("similarity", weighted_similarity(_shingles(F.col("__dw")), _shingles(F.col("__iw")))).where(F.col("similarity") >= SIMILARITY)

@@ -22,7 +22,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fixed
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: Every name in ASSIGN holds one of these.
+NAMES = ("password", "passwd", "secret", "token", "api")
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}+"
 TOKEN = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
@@ -41,7 +45,6 @@ def _matches(text: Column, pattern: str, rank: int, least: int = 0) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else whole
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("own"), values.alias("value"))
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(SPAN).alias("out"))
     empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
 
     def add(acc: Column, p: Column) -> Column:
@@ -79,6 +82,7 @@ def train(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> lis
     def variants(w: Column, i: Column) -> Column:
         return F.array(w, F.concat(w, F.lit("_"), next_word(i)), F.concat(w, F.initcap(next_word(i))), F.concat(w, F.lit("-"), next_word(i)), F.concat(w, F.lit("_"), number(i)), F.concat(w, F.lit("/"), next_word(i), F.lit("-20"), F.substr(number(i), F.lit(1), F.lit(2)), F.lit("-01")))
 
+    chosen = fixed(chosen, w=F.col("w"))
     ordinary = chosen.where(F.size("w") > 0).select(F.explode(F.flatten(F.transform("w", variants))).alias("token"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
@@ -107,13 +111,19 @@ def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id", ratios:
     """Add ``spans``: array of (start, end, rank), rank an index into KINDS, by start, then rank."""
     ratios = ratios if ratios is not None else train(docs, text, id_column)
     body = F.coalesce(F.col(text), F.lit(""))
-    base = F.concat(_matches(body, ASSIGN, 0, 8), _matches(body, ACCESS, 1), _matches(body, HEX, 2))
-    out = docs.withColumns({"__base": base, "__tokens": _matches(body, TOKEN, 3)})
+    # Plain substring tests spare most texts the longer patterns.
+    lower = F.lower(body)
+    named = F.lit(False)
+    for word in NAMES:
+        named = named | F.contains(lower, F.lit(word))
+    none = F.array().cast(SPAN)
+    base = F.concat(F.when(named, _matches(body, ASSIGN, 0, 8)).otherwise(none), F.when(F.contains(body, F.lit("AKIA")), _matches(body, ACCESS, 1)).otherwise(none), _matches(body, HEX, 2))
+    out = fixed(docs, __base=base, __tokens=_matches(body, TOKEN, 3))
     random = lambda s: _is_random(F.substr(body, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), ratios)
     free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     added = F.filter("__tokens", lambda s: free(s) & random(s))
     found = F.array_sort(F.concat("__base", added), lambda a, b: F.signum((a["start"] - b["start"]) * 8 + (a["rank"] - b["rank"])).cast("int"))
-    return out.withColumn(spans, found).drop("__base", "__tokens")
+    return fixed(out, **{spans: found}).drop("__base", "__tokens")
 
 
 def _is_random(token: Column, ratios: list[float]) -> Column:
