@@ -1,4 +1,124 @@
-"""Registered queries and their SQL."""
+"""Registered queries: each plan is stated once and spelt for Spark SQL and for the comparing engine.
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+``orders`` stand for judgments (status F, O, P: Satisfied, Unsatisfied, Cancelled), ``customer`` for
+companies. Catalyst plans every query; nothing is collected on the driver.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
+
+
+class Spark:
+    days = staticmethod(lambda a, b: f"datediff({a}, {b})")
+    sha = staticmethod(lambda x: f"sha2({x}, 256)")
+    replace_all = staticmethod(lambda x, p, by: f"regexp_replace({x}, '{p}', '{by}')")
+    matches = staticmethod(lambda x, p: f"({x} rlike '{p}')")
+    median = staticmethod(lambda x: f"median({x})")
+
+
+class Duck:
+    days = staticmethod(lambda a, b: f"datediff('day', {b}, {a})")
+    sha = staticmethod(lambda x: f"sha256({x})")
+    replace_all = staticmethod(lambda x, p, by: f"regexp_replace({x}, '{p}', '{by}', 'g')")
+    matches = staticmethod(lambda x, p: f"regexp_matches({x}, '{p}')")
+    median = staticmethod(lambda x: f"quantile_cont({x}, 0.5)")
+
+
+# Legal suffixes dropped from the end of a name.
+SUFFIXES = ("PRIVATE LIMITED COMPANY", "PUBLIC LIMITED COMPANY", "LIMITED LIABILITY PARTNERSHIP", "LIMITED PARTNERSHIP", "COMMUNITY INTEREST COMPANY", "LIMITED", "LTD", "PLC", "LLP", "LP", "CIC", "COMPANY", "CO", "INCORPORATED", "INC", "CORPORATION")
+DAY = "CAST(o_orderdate AS DATE)"
+OBSERVED = "DATE '1998-09-01'"
+STATUS = "CASE o_orderstatus WHEN 'F' THEN 'Satisfied' WHEN 'O' THEN 'Unsatisfied' ELSE 'Cancelled' END"
+
+
+def name(d, x: str) -> str:
+    """C1 on ASCII names."""
+    x = f"replace(upper(coalesce({x}, '')), '&', ' AND ')"
+    x = d.replace_all(x, "\\([^)]*\\)" if d is Duck else "\\\\([^)]*\\\\)", " ")
+    x = f"trim({d.replace_all(x, '[^A-Z0-9]+', ' ')})"
+    return f"trim({d.replace_all(f"concat(' ', {x})", f'( ({"|".join(SUFFIXES)}))+$', '')})"
+
+
+def judgments(d) -> str:
+    return f"SELECT o_orderkey AS id, o_custkey, {DAY} AS day, o_totalprice AS amount, {STATUS} AS status, o_orderpriority AS type, concat('Customer#', lpad(CAST(o_custkey AS VARCHAR(20)), 9, '0'), CASE WHEN o_orderkey % 3 = 0 THEN ' Ltd.' ELSE '' END) AS raw_name FROM orders"
+
+
+def companies(d) -> str:
+    """A tenth of the companies share a name with another; some lack an incorporation date."""
+    return f"SELECT c_custkey AS number, concat('Customer#', lpad(CAST(CASE WHEN c_custkey % 10 = 0 THEN c_custkey - 1 ELSE c_custkey END AS VARCHAR(20)), 9, '0'), ' LIMITED') AS raw_name, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(DATE '1992-01-01' + INTERVAL '1' DAY * CAST(c_custkey % 900 AS INT) AS DATE) END AS inc, c_custkey % 23 = 0 AS incomplete, c_acctbal, c_mktsegment FROM customer"
+
+
+def linked(d) -> str:
+    return f"""WITH j AS (SELECT *, {name(d, 'raw_name')} AS n FROM ({judgments(d)}) x),
+c AS (SELECT *, {name(d, 'raw_name')} AS n FROM ({companies(d)}) x),
+cand AS (SELECT j.id, c.number, CASE WHEN c.inc IS NULL THEN 'missing' WHEN c.incomplete THEN 'incomplete' WHEN j.day < c.inc THEN 'rejected' ELSE 'valid' END AS class FROM j JOIN c ON j.n = c.n WHERE j.n <> ''),
+agg AS (SELECT id, count(DISTINCT CASE WHEN class = 'valid' THEN number END) AS valid, count(DISTINCT CASE WHEN class = 'missing' THEN number END) AS missing, count(DISTINCT CASE WHEN class = 'incomplete' THEN number END) AS incomplete, count(DISTINCT CASE WHEN class = 'rejected' THEN number END) AS rejected, min(CASE WHEN class = 'valid' THEN number END) AS number FROM cand GROUP BY id),
+m AS (SELECT j.*, CASE WHEN valid = 1 AND missing + incomplete = 0 THEN agg.number END AS matched, CASE WHEN valid = 1 AND missing + incomplete = 0 THEN 'unique_exact_name' WHEN j.n = '' THEN 'missing_name' WHEN valid + missing + incomplete > 1 THEN 'exact_name_not_uniquely_verifiable' WHEN rejected > 0 THEN 'exact_name_post_incorporation' WHEN missing > 0 THEN 'exact_name_missing_incorporation_date' WHEN incomplete > 0 THEN 'exact_name_incomplete_name_history' ELSE 'no_date_valid_unique_exact_name' END AS reason, CAST(coalesce(CASE WHEN valid = 1 AND missing + incomplete = 0 THEN 1 ELSE valid + missing + incomplete END, 0) AS BIGINT) AS candidates FROM j LEFT JOIN agg ON j.id = agg.id)
+"""
+
+
+def scored(d) -> str:
+    return "WITH s AS (SELECT doc_id, toxic AS y, CAST((doc_id * 37) % 100 + 0.5 AS DOUBLE) / 100 AS p FROM labels)\n"
+
+
+PLANS: dict[str, Callable] = {
+    "name_normalize": lambda d: f"SELECT number, {name(d, 'raw_name')} AS normalized_name FROM ({companies(d)}) x",
+    "postcode_normalize": lambda d: f"SELECT c_custkey, {d.replace_all("upper(coalesce(concat(c_mktsegment, ' - ', c_name), ''))", '[^A-Z0-9]+', '')} AS postcode FROM customer",
+    "coded_values": lambda d: f"SELECT o_orderkey, {STATUS} AS status FROM orders",
+    "amount_parse": lambda d: f"SELECT o_orderkey, TRY_CAST({d.replace_all("concat('£', CAST(o_orderkey AS VARCHAR(20)), ',000')", '[£,]', '')} AS DOUBLE) AS amount, TRY_CAST(CASE WHEN o_orderkey % 7 = 0 THEN 'bad' ELSE '5' END AS DOUBLE) AS parsed FROM orders",
+    "bucket_amount": lambda d: "SELECT CASE WHEN o_totalprice IS NULL THEN 'amount_missing' WHEN o_totalprice < 500 THEN 'under_500' WHEN o_totalprice < 1000 THEN '500_to_999' WHEN o_totalprice < 5000 THEN '1000_to_4999' WHEN o_totalprice < 25000 THEN '5000_to_24999' ELSE '25000_plus' END AS band, count(*) AS n FROM orders GROUP BY 1",
+    "bucket_lag": lambda d: f"SELECT CASE WHEN lag < 0 THEN 'negative' WHEN lag < 1 THEN '0' WHEN lag < 2 THEN '1' WHEN lag < 6 THEN '2_to_5' WHEN lag < 31 THEN '6_to_30' ELSE '31_plus' END AS band, count(*) AS n FROM (SELECT {d.days('CAST(l_shipdate AS DATE)', DAY)} AS lag FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x GROUP BY 1",
+    "bucket_age": lambda d: f"SELECT CASE WHEN m > 1 AND m <= 12 THEN '1_to_12' WHEN m > 12 AND m <= 24 THEN '12_to_24' WHEN m > 24 AND m <= 36 THEN '24_to_36' WHEN m > 36 AND m <= 48 THEN '36_to_48' ELSE 'outside_or_missing' END AS band, count(*) AS n FROM (SELECT {d.days(OBSERVED, DAY)} / 30.4375 AS m FROM orders) x GROUP BY 1",
+    "lag_and_age": lambda d: f"SELECT l_orderkey, l_linenumber, CAST({d.days('CAST(l_shipdate AS DATE)', DAY)} AS BIGINT) AS lag_days, CAST({d.days(OBSERVED, DAY)} AS BIGINT) AS age_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "linkage_unique_exact": lambda d: linked(d) + "SELECT id, matched, reason, candidates FROM m",
+    "linkage_reasons": lambda d: linked(d) + "SELECT reason, count(*) AS n, round(count(*) * 1.0E0 / sum(count(*)) OVER (), 9) AS share FROM m GROUP BY reason",
+    "linkage_guards": lambda d: linked(d) + "SELECT CAST(sum(CASE WHEN matched IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS accepted, CAST(sum(CASE WHEN candidates > 1 THEN 1 ELSE 0 END) AS BIGINT) AS ambiguous, count(DISTINCT matched) AS companies FROM m",
+    "match_by_type": lambda d: linked(d) + "SELECT type, matched IS NOT NULL AS accepted, count(*) AS n FROM m GROUP BY 1, 2",
+    "match_by_vintage": lambda d: linked(d) + "SELECT CAST(extract(YEAR FROM day) AS BIGINT) AS judgment_year, matched IS NOT NULL AS accepted, count(*) AS n FROM m GROUP BY 1, 2",
+    "match_coverage": lambda d: linked(d) + "SELECT t.tier, coalesce(a.n, 0) AS n FROM (SELECT 'exact_unique' AS tier UNION ALL SELECT 'unmatched') t LEFT JOIN (SELECT CASE WHEN matched IS NULL THEN 'unmatched' ELSE 'exact_unique' END AS tier, count(*) AS n FROM m GROUP BY 1) a ON t.tier = a.tier",
+    "semi_join_candidates": lambda d: "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)",
+    "company_dedup_conflicts": lambda d: "SELECT number, count(*) AS copies, count(DISTINCT name) AS names FROM (SELECT s_suppkey AS number, s_name AS name FROM supplier UNION ALL SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN concat(s_name, 'X') ELSE s_name END FROM supplier WHERE s_suppkey % 2 = 0) x GROUP BY number",
+    "constraint_violations": lambda d: f"SELECT CAST(sum(CASE WHEN CAST(l_shipdate AS DATE) < {DAY} THEN 1 ELSE 0 END) AS BIGINT) AS early, CAST(sum(CASE WHEN {DAY} > {OBSERVED} THEN 1 ELSE 0 END) AS BIGINT) AS future, CAST(sum(CASE WHEN o_orderstatus = 'F' AND l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS status_conflicts FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "stratified_hash_sample": lambda d: f"SELECT stratum, id, rank_digest FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY rank_digest, id) AS r FROM (SELECT o_orderkey AS id, concat('reason=', o_orderstatus, '|judgment_year=', CAST(extract(YEAR FROM {DAY}) AS VARCHAR(4))) AS stratum, {d.sha("concat('20260618|unmatched|', 'reason=', o_orderstatus, '|judgment_year=', CAST(extract(YEAR FROM o_orderdate) AS VARCHAR(4)), '|', CAST(o_orderkey AS VARCHAR(20)), '|')")} AS rank_digest FROM orders) x) y WHERE r <= 10",
+    "stratum_metadata_check": lambda d: "SELECT o_orderpriority AS stratum, count(*) AS population_n, CAST(least(count(*), 50) AS BIGINT) AS sample_n, round(least(count(*), 50) * 1.0E0 / count(*), 9) AS inclusion_probability, round(count(*) * 1.0E0 / least(count(*), 50), 9) AS sampling_weight FROM orders GROUP BY 1",
+    "wilson_by_stratum": lambda d: "SELECT quality, n, round((p + 1.92072941E0 / n - 1.95996398E0 * sqrt(p * (1 - p) / n + 0.960364705E0 / (n * n))) / (1 + 3.84145882E0 / n), 6) AS low, round((p + 1.92072941E0 / n + 1.95996398E0 * sqrt(p * (1 - p) / n + 0.960364705E0 / (n * n))) / (1 + 3.84145882E0 / n), 6) AS high FROM (SELECT quality, count(*) AS n, avg(CAST(toxic AS DOUBLE)) AS p FROM labels GROUP BY quality) x",
+    "weighted_prevalence": lambda d: "SELECT round(sum(n * p) / sum(n), 9) AS prevalence FROM (SELECT d.lang, count(*) AS n, avg(CAST(toxic AS DOUBLE)) AS p FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang) x",
+    "reviewer_agreement_kappa": lambda d: "SELECT arm, n, round(agreement, 9) AS agreement, CASE WHEN abs(1 - e) < 1E-12 THEN NULL ELSE round((agreement - e) / (1 - e), 9) END AS kappa FROM (SELECT arm, count(*) AS n, avg(CASE WHEN a = b THEN 1E0 ELSE 0E0 END) AS agreement, avg(CAST(a AS DOUBLE)) * avg(CAST(b AS DOUBLE)) + (1 - avg(CAST(a AS DOUBLE))) * (1 - avg(CAST(b AS DOUBLE))) AS e FROM (SELECT quality AS arm, toxic AS a, CASE WHEN doc_id % 9 = 0 THEN 1 - toxic ELSE toxic END AS b FROM labels) x GROUP BY arm) y",
+    "cohort_filter_funnel": lambda d: f"SELECT count(*) AS all_rows, CAST(sum(CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END) AS BIGINT) AS labelled, CAST(sum(CASE WHEN o_orderstatus <> 'P' AND {DAY} >= CAST({OBSERVED} - INTERVAL '48' MONTH AS DATE) AND {DAY} < CAST({OBSERVED} - INTERVAL '1' MONTH AS DATE) THEN 1 ELSE 0 END) AS BIGINT) AS in_window FROM orders",
+    "age_basis_features": lambda d: f"SELECT o_orderkey, round(m, 9) AS months, round(power(m / 48, 2), 9) AS squared, round(power(greatest(m - 12, 0) / 48, 3), 9) AS knot12 FROM (SELECT o_orderkey, {d.days(OBSERVED, DAY)} / (365.25E0 / 12) AS m FROM orders) x",
+    "amount_features": lambda d: "SELECT o_orderkey, round(ln(1 + greatest(coalesce(o_totalprice, 0), 0)), 9) AS log_amount, CASE WHEN o_totalprice IS NULL OR o_totalprice < 0 THEN 1 ELSE 0 END AS amount_missing FROM orders",
+    "prior_history_24m": lambda d: f"SELECT o_orderkey, CAST(count(*) OVER w - count(*) OVER p AS BIGINT) AS prior_n, round(coalesce(sum(o_totalprice) OVER w, 0) - coalesce(sum(o_totalprice) OVER p, 0), 2) AS prior_value FROM (SELECT *, {DAY} AS day FROM orders) x WINDOW w AS (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN INTERVAL '24' MONTH PRECEDING AND CURRENT ROW), p AS (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN CURRENT ROW AND CURRENT ROW)",
+    "days_since_prior": lambda d: f"SELECT o_orderkey, CAST(n - max(n) OVER (PARTITION BY o_custkey ORDER BY n RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS days_since FROM (SELECT o_orderkey, o_custkey, {d.days(DAY, "DATE '1990-01-01'")} AS n FROM orders) x",
+    "group_split": lambda d: f"SELECT o_custkey, CASE WHEN r * 100 < 60 * n THEN 'train' WHEN r * 100 < 75 * n THEN 'validation' WHEN r * 100 < 85 * n THEN 'calibration' ELSE 'test' END AS split FROM (SELECT o_custkey, row_number() OVER (PARTITION BY stratum ORDER BY digest, o_custkey) - 1 AS r, count(*) OVER (PARTITION BY stratum) AS n FROM (SELECT o_custkey, CASE WHEN {d.median(d.days(OBSERVED, DAY))} <= 1100 THEN 0 ELSE 1 END AS stratum, {d.sha("concat('20260619', chr(0), CAST(o_custkey AS VARCHAR(20)))")} AS digest FROM orders GROUP BY o_custkey) x) y",
+    "label_mask": lambda d: "SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END END AS label FROM orders",
+    "audit_marginals": lambda d: "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority))",
+    "population_comparison": lambda d: "SELECT c_mktsegment, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS positives, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1E0 ELSE 0E0 END), 9) AS rate, count(DISTINCT o_custkey) AS companies FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY GROUPING SETS ((c_mktsegment), ())",
+    "auc_brier_logloss": lambda d: scored(d) + "SELECT round((sum(CASE WHEN y = 1 THEN mid ELSE 0 END) - sum(y) * (sum(y) + 1) / 2E0) / (sum(y) * (count(*) - sum(y))), 9) AS auc, round(avg((p - y) * (p - y)), 9) AS brier, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 9) AS log_loss FROM (SELECT s.*, t.mid FROM s JOIN (SELECT p, sum(count(*)) OVER (ORDER BY p) - (count(*) - 1) / 2E0 AS mid FROM s GROUP BY p) t ON s.p = t.p) x",
+    "average_precision": lambda d: scored(d) + "SELECT round(sum(hits * tp * 1E0 / n) / sum(hits), 9) AS ap FROM (SELECT sum(y) AS hits, sum(sum(y)) OVER (ORDER BY p DESC) AS tp, sum(count(*)) OVER (ORDER BY p DESC) AS n FROM s GROUP BY p) x",
+    "capacity_metrics": lambda d: scored(d) + "SELECT f AS fraction, k, CAST(hits AS BIGINT) AS hits, round(hits * 1E0 / k, 9) AS rate FROM (SELECT f, k, sum(CASE WHEN r <= k THEN y ELSE 0 END) AS hits FROM (SELECT y, row_number() OVER (ORDER BY p DESC, doc_id) AS r, count(*) OVER () AS n FROM s) x JOIN (SELECT 0.05E0 AS f UNION ALL SELECT 0.1E0 UNION ALL SELECT 0.2E0) g ON true JOIN (SELECT 0.05E0 AS f2, CAST(greatest(1, ceil(count(*) * 0.05E0)) AS BIGINT) AS k FROM s UNION ALL SELECT 0.1E0, CAST(greatest(1, ceil(count(*) * 0.1E0)) AS BIGINT) FROM s UNION ALL SELECT 0.2E0, CAST(greatest(1, ceil(count(*) * 0.2E0)) AS BIGINT) FROM s) h ON f = f2 GROUP BY f, k) z",
+    "reliability_table": lambda d: scored(d) + "SELECT CAST(bin AS BIGINT) AS bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(CAST(y AS DOUBLE)), 9) AS rate FROM (SELECT p, y, ntile(10) OVER (ORDER BY p, doc_id) AS bin FROM s) x GROUP BY bin",
+    "small_cell_suppression": lambda d: "SELECT o_custkey, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) x WHERE NOT (n > 0 AND n < 10)",
+    "identifier_scan": lambda d: f"SELECT doc_id, {d.matches("concat(substr(text, 1, 40), CASE WHEN doc_id % 3 = 0 THEN ' AB1 2CD ' ELSE '' END)", '(^|[^A-Z0-9])[A-Z][A-Z]?[0-9][A-Z0-9]? ?[0-9][A-Z][A-Z]([^A-Z0-9]|$)')} AS postcode FROM documents",
+    "union_missing_columns": lambda d: "SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier",
+    "impute_scale": lambda d: f"SELECT o_orderkey, round((coalesce(o_totalprice, md) - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS z FROM orders JOIN (SELECT {d.median('o_totalprice')} AS md, avg(o_totalprice) AS mu, stddev_pop(o_totalprice) AS sd FROM orders) s ON true",
+}
+
+
+def _query(plan: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = plan(Spark)
+        for table in TABLES:
+            if table in text:
+                spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        return spark.sql(text.replace("VARCHAR(20)", "STRING").replace("VARCHAR(4)", "STRING"))
+
+    return run
+
+
+QUERIES = {key: _query(plan) for key, plan in PLANS.items()}
+ORACLES = {key: plan(Duck) for key, plan in PLANS.items()}
