@@ -45,6 +45,8 @@ def fold(events: DataFrame) -> DataFrame:
     events = events.withColumn("__void", F.min(F.when(F.col("kind") == "regenerate", F.col("message"))).over(later))
     alive = events.where(F.col("__void").isNull() | (F.col("message") <= F.col("__void")))
     anew = F.max(F.when(F.col("kind") != "delta", F.col("seq"))).over(Window.partitionBy("conv", "message"))
+    # An event without a role takes the one its message has had.
+    alive = alive.withColumn("role", F.max("role").over(Window.partitionBy("conv", "message")))
     alive = alive.withColumn("__anew", anew).where(F.col("__anew").isNull() | (F.col("seq") >= F.col("__anew")))
     part = F.struct("seq", (F.col("kind") == "delta").alias("late"), F.coalesce("text", F.lit("")).alias("text"))
     return alive.groupBy("conv", "message").agg(F.max(F.coalesce("role", F.lit(""))).alias("role"), F.sort_array(F.collect_list(part)).alias("parts")).select("conv", "message", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
