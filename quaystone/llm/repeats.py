@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,13 +105,14 @@ def run_blob(strings: np.ndarray, records: np.ndarray) -> bytes:
     strings, records, shared = strings[kept], records[kept], shared[kept]
     records["shared"] = shared
     rest = strings[np.arange(SUFFIX) >= shared[:, None]]
-    return struct.pack("<qq", len(records), len(spans)) + records.tobytes() + spans.tobytes() + rest.tobytes()
+    return zstandard.compress(struct.pack("<qq", len(records), len(spans)) + records.tobytes() + spans.tobytes() + rest.tobytes(), 3)
 
 
 class Run:
     """A reader of a front-coded run."""
 
     def __init__(self, blob: bytes):
+        blob = zstandard.decompress(blob)
         n, m = struct.unpack_from("<qq", blob)
         self.records = np.frombuffer(blob, _RECORD, n, 16)
         self.spans = np.frombuffer(blob, _SPAN, m, 16 + n * _RECORD.itemsize)
