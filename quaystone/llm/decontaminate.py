@@ -8,7 +8,8 @@ whole sequence is one shingle).
 Windows: to reach the threshold, a window of m shingles must hold at least ceil(2 t m / (1 + t))
 shingles of the benchmark (t m for a shorter document), so windows with fewer are left out; a
 bitmap of the benchmark's shingle hashes, whose size is fixed by the benchmark's and checked, tells
-which positions can count, with no false negatives. Each window gets a 64-bit SimHash of its words.
+which positions can count, with no false negatives, and a table of the item lengths that have a
+shingle leaves each position to windows of those lengths alone. Each window gets a 64-bit SimHash of its words.
 Two fingerprints within ``RADIUS`` bits agree in one of RADIUS + 1 blocks at least, so an equi-join
 on (length, block, bits) finds every pair within the radius; a pair is kept at its first equal block
 alone, and its exact similarity is then computed from the words.
@@ -33,8 +34,8 @@ BLOCKS = RADIUS + 1
 BITS = 64 // BLOCKS
 #: Bits of the bitmap for each shingle of the benchmark, and the most 64-bit words it may have (64 MB).
 BITMAP_LOAD, MOST_BITMAP_WORDS = 64, 1 << 23
-#: Distinct item lengths that the windows of one pass handle.
-MOST_LENGTHS = 2000
+#: Slots of the length table for each shingle of the benchmark, the most slots, and the most (slot, length) pairs it may hold.
+LENGTH_LOAD, MOST_SLOTS, MOST_LENGTH_PAIRS = 1, 1 << 16, 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -77,18 +78,45 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def needed(length: int) -> int:
-    """Shingles of the benchmark that a window of ``length`` words must hold."""
-    m = max(1, length - SHINGLE + 1)
-    return math.ceil(2 * SIMILARITY * m / (1 + SIMILARITY) - 1e-9)
-
-
-def _windows(anchored: DataFrame, id_column: str, lengths: list[int]) -> DataFrame:
-    """Windows of each length that hold enough positions of the benchmark: id, ``__n`` and the words ``__dw``."""
-    table = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(max(1, n - SHINGLE + 1)).alias("m"), F.lit(needed(n)).alias("need")) for n in lengths))
-    part = anchored.select(id_column, "__w", F.col("__p").alias("__q"), F.explode(table).alias("__l"))
-    part = fixed(part, __p=F.transform("__q", lambda x: x["i"])).drop("__q").where(F.size("__p") > 0)
-    n, m, need = F.col("__l.n"), F.col("__l.m"), F.col("__l.need")
+def _length_table(lengths: DataFrame, count: int):
+    """Function from a shingle's hash to the lengths of items that may hold it; collisions add lengths, none is lost.
+
+    ``lengths`` has the benchmark's (h, n); the table's size is checked, and fewer slots are taken beyond it.
+    """
+    slots = min(MOST_SLOTS, 1 << max(4, (count * LENGTH_LOAD - 1).bit_length()))
+    slot = lambda h: F.call_function("shiftrightunsigned", h, F.lit(20)).bitwiseAND(F.lit(slots - 1)).cast("int")
+    pairs = lengths.select(slot(F.col("h")).alias("s"), "n").distinct()
+    while slots > 1 and pairs.count() > MOST_LENGTH_PAIRS:
+        slots //= 16
+        pairs = lengths.select(slot(F.col("h")).alias("s"), "n").distinct()
+    own: dict[int, list[int]] = {}
+    for row in pairs.collect():  # at most MOST_LENGTH_PAIRS
+        own.setdefault(row["s"], []).append(row["n"])
+    begins, flat = [1], []
+    for k in range(slots):
+        flat += own.get(k, [])
+        begins.append(len(flat) + 1)
+    as_array = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<int>")
+    starts, values = as_array(begins), as_array(flat)
+
+    def lengths_of(h: Column) -> Column:
+        at, stop = F.get(starts, slot(h)), F.get(starts, slot(h) + 1)
+        # Not a slice, which would copy the whole table.
+        return F.when(at < stop, F.transform(F.sequence(at, stop - 1), lambda k: F.get(values, k - 1))).otherwise(F.array().cast("array<int>"))
+
+    return lengths_of
+
+
+def _windows(anchored: DataFrame, id_column: str, lengths_of, gram: int) -> DataFrame:
+    """Windows that hold enough positions of items of their length: id, ``__n`` and the words ``__dw``."""
+    known = fixed(anchored, __l=F.array_distinct(F.flatten(F.transform("__p", lambda x: lengths_of(x["h"])))))
+    fits = (lambda k: k >= SHINGLE) if gram == SHINGLE else (lambda k: k == gram)
+    part = known.select(id_column, "__w", F.col("__p").alias("__q"), F.explode(F.filter("__l", fits)).alias("__n"))
+    own = F.filter("__q", lambda x: F.array_contains(lengths_of(x["h"]), F.col("__n")))
+    part = fixed(part, __p=F.transform(own, lambda x: x["i"])).drop("__q").where(F.size("__p") > 0)
+    n, m = F.col("__n"), F.greatest(F.lit(1), F.col("__n") - (SHINGLE - 1))
+    # Shingles of the benchmark that a window must hold.
+    need = F.ceil(F.lit(2 * SIMILARITY) * m / F.lit(1 + SIMILARITY) - 1e-9).cast("int")
     total = F.size("__w")
     # A window starts at s where so many positions lie in s .. s + m - 1.
     first = lambda i: F.greatest(F.lit(0), F.get("__p", i + need - 1) - m + 1)
@@ -96,8 +124,7 @@ def _windows(anchored: DataFrame, id_column: str, lengths: list[int]) -> DataFra
     begins = F.filter(F.sequence(F.lit(0), F.size("__p") - need), lambda i: (F.get("__p", i + need - 1) - F.get("__p", i) <= m - 1) & (first(i) <= last(i)))
     inside = F.when((total >= n) & (F.size("__p") >= need), F.array_distinct(F.flatten(F.transform(begins, lambda i: F.sequence(first(i), last(i))))))
     whole = F.when((total < n) & (F.size("__p") >= F.ceil(m * SIMILARITY - 1e-9)), F.array(F.lit(0)))
-    starts = F.coalesce(inside, whole, F.array().cast("array<int>"))
-    at = fixed(part.select(id_column, "__w", n.alias("__n"), "__p", "__l"), __s=starts)
+    at = fixed(part, __s=F.coalesce(inside, whole, F.array().cast("array<int>")))
     cut = F.transform("__s", lambda s: F.slice(F.col("__w"), s + 1, F.col("__n")))
     return at.where(F.size("__s") > 0).select(id_column, "__n", F.explode(cut).alias("__dw"))
 
@@ -108,7 +135,8 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text:
     bench = fixed(items.select(F.col(item_id).alias("__item"), F.col(item_text).alias("__t")), __iw=words(F.col("__t"))).drop("__t").where(F.size("__iw") > 0)
     bench = fixed(bench, __iv=F.transform("__iw", lambda w: F.xxhash64(w)))
     grams = F.coalesce(*(F.when(F.size("__iv") >= n, _gram_hashes(F.col("__iv"), n)) for n in range(SHINGLE, 0, -1)))
-    hashed = bench.select(F.explode(grams).alias("h")).distinct()
+    with_lengths = bench.select(F.explode(grams).alias("h"), F.size("__iw").alias("n")).distinct()
+    hashed = with_lengths.select("h").distinct()
     facts = bench.agg(F.sort_array(F.collect_set(F.size("__iw"))).alias("lengths")).first()  # as many as distinct lengths
     count = hashed.count()
     empty = docs.select(F.col(id_column), F.lit(None).alias("__item")).where("false").select(id_column, *bench.select("__item").columns, F.lit(0.0).alias("similarity"))
@@ -128,6 +156,7 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text:
     probe = lambda h: F.getbit(F.get(bitmap, slot(h).cast("int")), bit(h)) == 1
     marked = lambda h: probe(h) & probe(F.xxhash64(h, F.lit(1)))
 
+    lengths_of = _length_table(with_lengths, count)
     base = fixed(docs.select(F.col(id_column), F.col(text).alias("__t")), __w=words(F.col("__t"))).drop("__t")
     base = fixed(base, __v=F.transform("__w", lambda w: F.xxhash64(w)))
     found = None
@@ -141,16 +170,17 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text:
         # No window of any length can match with fewer positions than the shortest whole document needs.
         fewest = min(math.ceil(max(1, n - SHINGLE + 1) * SIMILARITY - 1e-9) for n in own)
         anchored = fixed(hashes, __p=positions).drop("__h", "__v").where(F.size("__p") >= fewest)
-        for lo in range(0, len(own), MOST_LENGTHS):
-            windows = _windows(anchored, id_column, own[lo : lo + MOST_LENGTHS])
-            found = windows if found is None else found.unionByName(windows)
+        windows = _windows(anchored, id_column, lengths_of, gram)
+        found = windows if found is None else found.unionByName(windows)
 
     key = lambda p: F.explode(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda k: F.struct(k.alias("k"), _block(p, k).alias("v"))))
     left = fixed(found.distinct(), __dp=simhash(F.col("__dw"))).select("*", key(F.col("__dp")).alias("__b")).select(id_column, "__n", "__dw", "__dp", F.col("__b.k").alias("__k"), F.col("__b.v").alias("__v"))
     right = fixed(bench, __ip=simhash(F.col("__iw"))).withColumn("__n", F.size("__iw")).select("__item", "__iw", "__ip", "__n", key(F.col("__ip")).alias("__b")).select("__item", "__iw", "__ip", "__n", F.col("__b.k").alias("__k"), F.col("__b.v").alias("__v"))
     near = F.bit_count(F.col("__dp").bitwiseXOR(F.col("__ip"))) <= RADIUS
     pairs = left.join(right, ["__n", "__k", "__v"]).where(near & (_first_equal_block(F.col("__dp"), F.col("__ip")) == F.col("__k")))
-    scored = pairs.withColumn("similarity", weighted_similarity(_shingles(F.col("__dw")), _shingles(F.col("__iw")))).where(F.col("similarity") >= SIMILARITY)
+    # Computed once a pair: inlined into the join's condition, the shingles would be built anew for every count.
+    shingled = fixed(pairs, __a=_shingles(F.col("__dw")), __c=_shingles(F.col("__iw")))
+    scored = fixed(shingled, similarity=weighted_similarity(F.col("__a"), F.col("__c"))).where(F.col("similarity") >= SIMILARITY)
     return scored.groupBy(id_column, "__item").agg(F.max("similarity").alias("similarity"))
 
 
