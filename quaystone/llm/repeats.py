@@ -267,7 +267,10 @@ def merged_spans(blobs: list[bytes]) -> Iterator[np.ndarray]:
 
 
 def removed_spans(docs: DataFrame, parts: int) -> DataFrame:
-    """Covered spans (doc, copy, start, end in bytes) of docs (doc, copy, t)."""
+    """Covered spans (doc, copy, start, end in bytes) of docs (id, doc, copy, t).
+
+    The join takes all four columns, as the one in ``remove_repeats`` does, so that both read one exchange of the texts.
+    """
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,10 +280,11 @@ def removed_spans(docs: DataFrame, parts: int) -> DataFrame:
                 index = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), pa.array(gram.view(np.int64))], names=["doc", "copy", "gram"])
 
-    grams = docs.mapInArrow(grams_of, "doc long, copy int, gram long")
+    grams = docs.select("doc", "copy", "t").mapInArrow(grams_of, "doc long, copy int, gram long")
     shared = grams.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where("n > 1")
-    wanted = shared.groupBy("doc", "copy").agg(F.collect_set("gram").alias("grams"))
-    both = docs.join(wanted, ["doc", "copy"]).select("doc", "copy", "t", "grams")
+    # Dealt by doc alone: where no id is repeated, copy is a constant and the join asks for no more, so it needs no second exchange.
+    wanted = shared.repartition("doc").groupBy("doc", "copy").agg(F.collect_set("gram").alias("grams"))
+    both = docs.join(wanted, ["doc", "copy"]).select("doc", "copy", "t", "grams", "id")
 
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,9 +327,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     parts = parts or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     numbered = with_copy_number(base.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))), "doc", "t", "copy")
-    spans = removed_spans(numbered.select("doc", "copy", "t"), parts)
-    packed = spans.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    both = numbered.join(packed, ["doc", "copy"], "left").select("id", "t", F.col("spans.start").alias("s"), F.col("spans.end").alias("e"))
+    spans = removed_spans(numbered.select("id", "doc", "copy", "t"), parts)
+    packed = spans.repartition("doc").groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    both = numbered.select("id", "doc", "copy", "t").join(packed, ["doc", "copy"], "left").select("id", "t", F.col("spans.start").alias("s"), F.col("spans.end").alias("e"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
