@@ -8,10 +8,12 @@ truncated to 16 bits, so registers of a union are the larger of both and equal r
 similar sets. Bands of ``BAND`` registers give buckets; at similarity 0.85 a pair misses all of them
 with probability 5e-7 (at 0.8: 5e-5).
 
-Buckets are never expanded to all pairs. First each class meets its bucket's smallest class only.
+Buckets are never expanded to all pairs. First each class meets its bucket's hub only: the class that
+shares buckets with most others (over all bands), as the text does from which a group of copies was
+edited; copies of it may be farther from each other than from it.
 Links found so far give components; then, in buckets that still hold several components, classes
-outside the component of the bucket's smallest class meet the members of other components: pairs
-inside one component can't change anything. Candidates go on if the similarity that maximises the
+outside the component of the bucket's hub meet the members of other components of a size that can
+reach the limit: pairs inside one component can't change anything. Candidates go on if the similarity that maximises the
 joint likelihood of greater, smaller and equal registers is within five deviations of the limit, and
 are confirmed on the full sets. Components come from label propagation with pointer jumping.
 
@@ -170,23 +172,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     some = base.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
     classes = shared_checkpoint(some.groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.xxhash64(k, F.substr(F.col("sketch"), (k * (2 * BAND) + 1).cast("int"), F.lit(2 * BAND))))
-    entries = classes.select("set_key", F.explode(bands).alias("band"))
-    buckets = entries.groupBy("band").agg(F.min("set_key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    members = shared_checkpoint(entries.join(buckets, "band").select("band", "hub", "set_key"))
+    entries = classes.select("set_key", F.col("n_shingles").alias("size"), F.explode(bands).alias("band"))
+    counted = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = shared_checkpoint(entries.join(counted, "band"))
+    partners = shared.groupBy("set_key").agg(F.sum("n").alias("partners"))
+    hubs_of = shared.join(partners, "set_key").groupBy("band").agg(F.max(F.struct("partners", "set_key")).alias("best")).select("band", F.col("best.set_key").alias("hub"))
+    members = shared_checkpoint(shared.join(hubs_of, "band").select("band", "hub", "set_key", "size"))
     least = percent / 100
 
     star = members.where("hub <> set_key").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct()
+    met = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = shared_checkpoint(_verified(shared_checkpoint(_likely(star, classes, least)), docs, classes, id_column, text, size, percent))
     nodes = members.select(F.col("set_key").alias("node")).distinct()
     labels = components(nodes, links)
     own = labels.select(F.col("node").alias("set_key"), F.col("label").alias("mine"))
     hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("main"))
-    labelled = members.join(own, "set_key").join(hubs, "hub").select("band", "set_key", "mine", "main")
+    labelled = members.join(own, "set_key").join(hubs, "hub").select("band", "set_key", "size", "mine", "main")
     split = labelled.where("mine <> main").select("band").distinct()
     open_ = shared_checkpoint(labelled.join(split, "band", "left_semi"))
-    out = open_.where("mine <> main").select("band", F.col("set_key").alias("x"), F.col("mine").alias("mx"))
-    rest = open_.select("band", F.col("set_key").alias("y"), F.col("mine").alias("my"), (F.col("mine") == F.col("main")).alias("inside"))
-    cross = out.join(rest, "band").where("mx <> my and (inside or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    out = open_.where("mine <> main").select("band", F.col("set_key").alias("x"), F.col("size").alias("nx"), F.col("mine").alias("mx"))
+    rest = open_.select("band", F.col("set_key").alias("y"), F.col("size").alias("ny"), F.col("mine").alias("my"), (F.col("mine") == F.col("main")).alias("inside"))
+    pairs = out.join(rest, "band").where(f"mx <> my and (inside or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    cross = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
     more = _verified(shared_checkpoint(_likely(cross, classes, least)), docs, classes, id_column, text, size, percent)
     ids = classes.select("set_key", "id")
     linked = links.union(more)
