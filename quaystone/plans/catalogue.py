@@ -6,6 +6,7 @@ companies. Catalyst plans every query; nothing is collected on the driver.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,26 @@ def scored(d) -> str:
     return "WITH s AS (SELECT doc_id, toxic AS y, CAST((doc_id * 37) % 100 + 0.5 AS DOUBLE) / 100 AS p FROM labels)\n"
 
 
+def name_periods(d) -> str:
+    """Half-open periods of former and current names; changes on or before incorporation, or on a day already taken, count as invalid."""
+    return f"""WITH former AS (SELECT f.number, f.change, {name(d, 'f.raw')} AS nm, c.inc FROM (SELECT o_custkey AS number, CASE WHEN o_orderkey % 11 <> 0 THEN {DAY} END AS change, concat('Name ', CAST(o_orderkey % 5 AS VARCHAR(20)), ' LTD') AS raw FROM orders) f JOIN ({companies(d)}) c ON f.number = c.number WHERE f.change IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY number, change ORDER BY nm) AS r FROM former WHERE nm <> '' AND (inc IS NULL OR change > inc)),
+kept AS (SELECT number, change, nm, inc FROM ranked WHERE r = 1)
+SELECT number, nm AS normalized_name, coalesce(lag(change) OVER (PARTITION BY number ORDER BY change), inc) AS valid_from, change AS valid_to, 'former' AS kind FROM kept
+UNION ALL SELECT c.number, {name(d, 'c.raw_name')}, coalesce(l.latest, c.inc), CAST(NULL AS DATE), 'current' FROM ({companies(d)}) c LEFT JOIN (SELECT number, max(change) AS latest FROM kept GROUP BY number) l ON c.number = l.number"""
+
+
+def systematic_sample(d, count: int = 1000, seed: int = 20260618, tier: str = "accepted") -> str:
+    """Every (rows / count)-th row of the strata in order from a hashed start; ranks are taken within strata, so no task sorts all rows."""
+    start = int.from_bytes(hashlib.sha256(f"{seed}|{tier}|systematic-start".encode()).digest()[:8], "big") / 2**64
+    drawn = " OR ".join(f"(i + {k} >= 0 AND i + {k} < {count} AND floor(({start!r}E0 + i + {k}) * step) = place)" for k in (-1, 0, 1))
+    return f"""WITH x AS (SELECT o_orderkey AS id, o_orderpriority AS stratum, {d.sha(f"concat('{seed}|{tier}|', CAST(o_orderkey AS VARCHAR(20)), '|', CAST(o_custkey AS VARCHAR(20)))")} AS rank_digest FROM orders),
+s AS (SELECT stratum, sum(count(*)) OVER (ORDER BY stratum) - count(*) AS earlier, sum(count(*)) OVER () AS total FROM x GROUP BY stratum),
+p AS (SELECT x.id, x.stratum, CAST(s.earlier + row_number() OVER (PARTITION BY x.stratum ORDER BY x.rank_digest, x.id) - 1 AS BIGINT) AS place, CAST(s.total AS DOUBLE) / {count} AS step FROM x JOIN s ON x.stratum = s.stratum),
+c AS (SELECT *, ceil(place / step - {start!r}E0) AS i FROM p)
+SELECT id, stratum, place FROM c WHERE step <= 1 OR {drawn}"""
+
+
 PLANS: dict[str, Callable] = {
     "name_normalize": lambda d: f"SELECT number, {name(d, 'raw_name')} AS normalized_name FROM ({companies(d)}) x",
     "postcode_normalize": lambda d: f"SELECT c_custkey, {d.replace_all("upper(coalesce(concat(c_mktsegment, ' - ', c_name), ''))", '[^A-Z0-9]+', '')} AS postcode FROM customer",
@@ -75,6 +96,8 @@ PLANS: dict[str, Callable] = {
     "bucket_lag": lambda d: f"SELECT CASE WHEN lag < 0 THEN 'negative' WHEN lag < 1 THEN '0' WHEN lag < 2 THEN '1' WHEN lag < 6 THEN '2_to_5' WHEN lag < 31 THEN '6_to_30' ELSE '31_plus' END AS band, count(*) AS n FROM (SELECT {d.days('CAST(l_shipdate AS DATE)', DAY)} AS lag FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x GROUP BY 1",
     "bucket_age": lambda d: f"SELECT CASE WHEN m > 1 AND m <= 12 THEN '1_to_12' WHEN m > 12 AND m <= 24 THEN '12_to_24' WHEN m > 24 AND m <= 36 THEN '24_to_36' WHEN m > 36 AND m <= 48 THEN '36_to_48' ELSE 'outside_or_missing' END AS band, count(*) AS n FROM (SELECT {d.days(OBSERVED, DAY)} / 30.4375 AS m FROM orders) x GROUP BY 1",
     "lag_and_age": lambda d: f"SELECT l_orderkey, l_linenumber, CAST({d.days('CAST(l_shipdate AS DATE)', DAY)} AS BIGINT) AS lag_days, CAST({d.days(OBSERVED, DAY)} AS BIGINT) AS age_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "name_periods": name_periods,
+    "systematic_sample": systematic_sample,
     "linkage_unique_exact": lambda d: linked(d) + "SELECT id, matched, reason, candidates FROM m",
     "linkage_reasons": lambda d: linked(d) + "SELECT reason, count(*) AS n, round(count(*) * 1.0E0 / sum(count(*)) OVER (), 9) AS share FROM m GROUP BY reason",
     "linkage_guards": lambda d: linked(d) + "SELECT CAST(sum(CASE WHEN matched IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS accepted, CAST(sum(CASE WHEN candidates > 1 THEN 1 ELSE 0 END) AS BIGINT) AS ambiguous, count(DISTINCT matched) AS companies FROM m",
