@@ -78,6 +78,27 @@ def test_near_duplicates(docs):
     assert found[5].component_id == 4 and not found[5].kept
 
 
+def test_near_duplicates_equal_brute_force(spark):
+    """Edited copies of one text: some are linked to it, some only to each other, some to nothing."""
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(10_000)}" for _ in range(120)]
+    texts = [" ".join(base)]
+    for k in range(60):
+        words = list(base)
+        for place in rng.sample(range(120), rng.choice((1, 3, 5, 8, 12))):
+            words[place] = f"x{k % 30}y{place // 10}"
+        texts.append(" ".join(words))
+    sets = [frozenset(zip(w, w[1:], w[2:])) for w in map(str.split, texts)]
+    label = list(range(len(sets)))
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = near_dups.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(label))
+    assert 1 < len(set(label)) < len(label)
+
+
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(1, PASSAGE.upper()), (2, None), (3, "never seen words at all here")], "item_id long, text string")
     found = {r.doc_id: r["items"] for r in decontaminate.mark(docs, items).collect()}
