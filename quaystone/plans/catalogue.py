@@ -18,7 +18,7 @@ class Spark:
     days = staticmethod(lambda a, b: f"datediff({a}, {b})")
     sha = staticmethod(lambda x: f"sha2({x}, 256)")
     replace_all = staticmethod(lambda x, p, by: f"regexp_replace({x}, '{p}', '{by}')")
-    matches = staticmethod(lambda x, p: f"({x} rlike '{p}')")
+    matches = staticmethod(lambda x, p: f"({x} rlike r'{p}')")
     median = staticmethod(lambda x: f"median({x})")
 
 
@@ -87,6 +87,71 @@ c AS (SELECT *, ceil(place / step - {start!r}E0) AS i FROM p)
 SELECT id, stratum, place FROM c WHERE step <= 1 OR {drawn}"""
 
 
+# The reference's patterns ignore case by Unicode: a letter class also takes these four, and words end by Unicode letters and digits.
+LETTER, WORD, SPACE = "A-Za-z\\x{130}\\x{131}\\x{17F}\\x{212A}", "\\p{L}\\p{N}_", "[\\x{9}-\\x{D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+SAFE_NAME_COLUMNS = ("artifact_name", "feature_name", "file_name", "filename", "metric_name", "model_name")
+SAFE_EIGHT_DIGIT_COLUMNS = ("date", "diagnostic_seed", "judgment_date", "locked_seed", "observation_date", "run_seed", "sample_seed", "seed", "snapshot_date")
+EXACT_IDENTIFIER_COLUMNS = ("id", "rt_id", "judgment_id", "case_id", "company_id", "company_name", "company_number", "company_postcode", "defendant_name", "defendant_company_name", "defendant_trading_name", "defendant_postcode", "trading_name", "matched_name", "matched_company_name", "matched_company_number", "address", "postcode")
+#: Identifiers that the caller of a scan knows; ASCII, so lower case is their case folding.
+KNOWN_IDENTIFIERS = ("Quaystone-7731", "Case 0042/B")
+
+
+def _word(text: str) -> str:
+    """A word in either case; I also matches the dotless and the dotted letter, as in the reference."""
+    return "".join(f"[{c}{c.lower()}{'\\x{130}\\x{131}' if c == 'I' else ''}]" for c in text)
+
+
+def _between(pattern: str, inside: str) -> str:
+    return f"(^|[^{inside}])(?:{pattern})(\\z|[^{inside}])"
+
+
+_NUMBER = f"[{LETTER}]{{2}}\\p{{Nd}}{{6}}"
+POSTCODE = _between(f"{_word('GIR')}{SPACE}?0[Aa][Aa]|[{LETTER}][{LETTER}]?\\p{{Nd}}[{LETTER}\\p{{Nd}}]?{SPACE}?\\p{{Nd}}[{LETTER}]{{2}}", f"{LETTER}0-9")
+LETTERED_NUMBER = _between(_NUMBER, f"{LETTER}0-9")
+PREFIXED_NUMBER = _between(f"(?:{_word('COMPANY')}|{_word('CO')}){SPACE}*(?:{_word('NUMBER')}|{_word('NO')}[.]?)(?:{SPACE}|[:#-])*(?:{_NUMBER}|\\p{{Nd}}{{8}})", WORD)
+NUMERIC_VALUE = f"^{SPACE}*\\p{{Nd}}{{8}}{SPACE}*\\z"
+#: The last word before the suffix decides whether a name of 1 to 10 words is there, so this finds what the reference's repetition finds, in linear time.
+COMPANY_NAME = _between(f"[{LETTER}0-9]+[&.\\x{{27}}\\x{{2019}}()/-]*{SPACE}+(?:{'|'.join(map(_word, ('LTD', 'LIMITED', 'PLC', 'LLP')))})", WORD)
+
+#: What every match of the patterns above holds; cheap to look for, so most texts are spared the rest.
+SIX_DIGITS, POSTCODE_END = "\\p{Nd}{6}", f"\\p{{Nd}}[{LETTER}][{LETTER}]"
+NAME_END = f"{SPACE}(?:{'|'.join(map(_word, ('LTD', 'LIMITED', 'PLC', 'LLP')))})"
+
+
+def among(x: str, values: tuple[str, ...]) -> str:
+    return f"{x} IN ({', '.join(f"'{v}'" for v in values)})"
+
+
+def canon_column(d, x: str) -> str:
+    x = d.replace_all(f"lower(trim({x}))", "[^a-z0-9]+", "_")
+    return d.replace_all(x, "^_+|_+$", "")
+
+
+def identifier_column(d, key: str) -> str:
+    """Whether a heading, as canon_column gives it, names a column of identifying values."""
+    has = lambda part: f"{key} LIKE '%{part}%'"
+    names = f"({has('company')} AND ({has('name')} OR {has('number')})) OR ({has('defendant')} AND {has('name')}) OR ({has('trading')} AND {has('name')})"
+    return f"(NOT {among(key, SAFE_NAME_COLUMNS)} AND ({among(key, EXACT_IDENTIFIER_COLUMNS)} OR {has('postcode')} OR {has('address')} OR ({d.matches(key, '_id$')} AND NOT {among(key, ('model_id', 'run_id'))}) OR {names}))"
+
+
+def identifier_flags(d, text: str, cell: str, key: str) -> str:
+    """One flag for each finding kind of K8: of a whole text, and of one CSV cell under a heading."""
+    number = " OR ".join(d.matches(text, p) for p in (LETTERED_NUMBER, PREFIXED_NUMBER, NUMERIC_VALUE))
+    numeric_cell = f"({d.matches(cell, NUMERIC_VALUE)} AND NOT {among(key, SAFE_EIGHT_DIGIT_COLUMNS)})"
+    known = " OR ".join(f"contains(lower({text}), '{k.lower()}')" for k in KNOWN_IDENTIFIERS)
+    return f"""({d.matches(text, POSTCODE_END)} AND {d.matches(text, POSTCODE)}) AS postcode, (({d.matches(text, SIX_DIGITS)} AND ({number})) OR {numeric_cell}) AS company_number,
+({d.matches(text, NAME_END)} AND {d.matches(text, COMPANY_NAME)}) AS company_name, ({known}) AS known_identifier, {identifier_column(d, key)} AS identifier_column"""
+
+
+def identifier_scan(d) -> str:
+    """Whole texts, each followed by what the survey plants by expression, with a heading and a cell beside it."""
+    plants = ((3, "AB1 2CD"), (5, "gir 0aa"), (7, "sc123456"), (11, "Company No: 01234567"), (13, "alpha beta ltd"), (17, "QUAYSTONE-7731"))
+    planted = ", ".join(f"CASE WHEN doc_id % {n} = 0 THEN ' {p} ' ELSE '' END" for n, p in plants)
+    heads = " ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(("Company Name", "metric_name", "run_id", "Postcode area", "Judgment-ID", "Observation Date", "share")))
+    return f"""SELECT doc_id, {identifier_flags(d, 'body', 'cell', 'head')} FROM (SELECT doc_id, body, cell, {canon_column(d, 'raw_head')} AS head FROM
+(SELECT doc_id, concat(coalesce(text, ''), {planted}) AS body, CASE WHEN doc_id % 2 = 0 THEN lpad(CAST(doc_id AS VARCHAR(20)), 8, '0') ELSE '' END AS cell, CASE doc_id % 7 {heads} END AS raw_head FROM documents) x) y"""
+
+
 PLANS: dict[str, Callable] = {
     "name_normalize": lambda d: f"SELECT number, {name(d, 'raw_name')} AS normalized_name FROM ({companies(d)}) x",
     "postcode_normalize": lambda d: f"SELECT c_custkey, {d.replace_all("upper(coalesce(concat(c_mktsegment, ' - ', c_name), ''))", '[^A-Z0-9]+', '')} AS postcode FROM customer",
@@ -126,7 +191,7 @@ PLANS: dict[str, Callable] = {
     "capacity_metrics": lambda d: scored(d) + "SELECT f AS fraction, k, CAST(hits AS BIGINT) AS hits, round(hits * 1E0 / k, 9) AS rate FROM (SELECT f, k, sum(CASE WHEN r <= k THEN y ELSE 0 END) AS hits FROM (SELECT y, row_number() OVER (ORDER BY p DESC, doc_id) AS r, count(*) OVER () AS n FROM s) x JOIN (SELECT 0.05E0 AS f UNION ALL SELECT 0.1E0 UNION ALL SELECT 0.2E0) g ON true JOIN (SELECT 0.05E0 AS f2, CAST(greatest(1, ceil(count(*) * 0.05E0)) AS BIGINT) AS k FROM s UNION ALL SELECT 0.1E0, CAST(greatest(1, ceil(count(*) * 0.1E0)) AS BIGINT) FROM s UNION ALL SELECT 0.2E0, CAST(greatest(1, ceil(count(*) * 0.2E0)) AS BIGINT) FROM s) h ON f = f2 GROUP BY f, k) z",
     "reliability_table": lambda d: scored(d) + "SELECT CAST(bin AS BIGINT) AS bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(CAST(y AS DOUBLE)), 9) AS rate FROM (SELECT p, y, ntile(10) OVER (ORDER BY p, doc_id) AS bin FROM s) x GROUP BY bin",
     "small_cell_suppression": lambda d: "SELECT o_custkey, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) x WHERE NOT (n > 0 AND n < 10)",
-    "identifier_scan": lambda d: f"SELECT doc_id, {d.matches("concat(substr(text, 1, 40), CASE WHEN doc_id % 3 = 0 THEN ' AB1 2CD ' ELSE '' END)", '(^|[^A-Z0-9])[A-Z][A-Z]?[0-9][A-Z0-9]? ?[0-9][A-Z][A-Z]([^A-Z0-9]|$)')} AS postcode FROM documents",
+    "identifier_scan": identifier_scan,
     "union_missing_columns": lambda d: "SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier",
     "impute_scale": lambda d: f"SELECT o_orderkey, round((coalesce(o_totalprice, md) - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS z FROM orders JOIN (SELECT {d.median('o_totalprice')} AS md, avg(o_totalprice) AS mu, stddev_pop(o_totalprice) AS sd FROM orders) s ON true",
 }
