@@ -181,7 +181,7 @@ PLANS: dict[str, Callable] = {
     "age_basis_features": lambda d: f"SELECT o_orderkey, round(m, 9) AS months, round(power(m / 48, 2), 9) AS squared, round(power(greatest(m - 12, 0) / 48, 3), 9) AS knot12 FROM (SELECT o_orderkey, {d.days(OBSERVED, DAY)} / (365.25E0 / 12) AS m FROM orders) x",
     "amount_features": lambda d: "SELECT o_orderkey, round(ln(1 + greatest(coalesce(o_totalprice, 0), 0)), 9) AS log_amount, CASE WHEN o_totalprice IS NULL OR o_totalprice < 0 THEN 1 ELSE 0 END AS amount_missing FROM orders",
     "prior_history_24m": lambda d: f"SELECT o_orderkey, CAST(count(*) OVER w - count(*) OVER p AS BIGINT) AS prior_n, round(coalesce(sum(o_totalprice) OVER w, 0) - coalesce(sum(o_totalprice) OVER p, 0), 2) AS prior_value FROM (SELECT *, {DAY} AS day FROM orders) x WINDOW w AS (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN INTERVAL '24' MONTH PRECEDING AND CURRENT ROW), p AS (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN CURRENT ROW AND CURRENT ROW)",
-    "days_since_prior": lambda d: f"SELECT o_orderkey, CAST(n - max(n) OVER (PARTITION BY o_custkey ORDER BY n RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS days_since FROM (SELECT o_orderkey, o_custkey, {d.days(DAY, "DATE '1990-01-01'")} AS n FROM orders) x",
+    "days_since_prior": lambda d: f"SELECT o_orderkey, CAST(CASE WHEN prior >= {d.days(f"CAST(day - INTERVAL '24' MONTH AS DATE)", "DATE '1990-01-01'")} THEN n - prior END AS BIGINT) AS days_since FROM (SELECT *, max(n) OVER (PARTITION BY o_custkey ORDER BY n RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM (SELECT o_orderkey, o_custkey, {DAY} AS day, {d.days(DAY, "DATE '1990-01-01'")} AS n FROM orders) x) y",
     "group_split": lambda d: f"SELECT o_custkey, CASE WHEN r * 100 < 60 * n THEN 'train' WHEN r * 100 < 75 * n THEN 'validation' WHEN r * 100 < 85 * n THEN 'calibration' ELSE 'test' END AS split FROM (SELECT o_custkey, row_number() OVER (PARTITION BY stratum ORDER BY digest, o_custkey) - 1 AS r, count(*) OVER (PARTITION BY stratum) AS n FROM (SELECT o_custkey, CASE WHEN {d.median(d.days(OBSERVED, DAY))} <= 1100 THEN 0 ELSE 1 END AS stratum, {d.sha("concat('20260619', chr(0), CAST(o_custkey AS VARCHAR(20)))")} AS digest FROM orders GROUP BY o_custkey) x) y",
     "label_mask": lambda d: "SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END END AS label FROM orders",
     "audit_marginals": lambda d: "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority))",
