@@ -152,6 +152,19 @@ def identifier_scan(d) -> str:
 (SELECT doc_id, concat(coalesce(text, ''), {planted}) AS body, CASE WHEN doc_id % 2 = 0 THEN lpad(CAST(doc_id AS VARCHAR(20)), 8, '0') ELSE '' END AS cell, CASE doc_id % 7 {heads} END AS raw_head FROM documents) x) y"""
 
 
+def group_split(d) -> str:
+    """G4: companies by digest inside four strata of the median age (right-closed at 12, 24 and 36 months of 30.4375 days), cut by floors plus largest remainders, ties in split order. Ranks are counted by digest prefix, so no task sorts a whole stratum."""
+    splits = " UNION ALL ".join(f"SELECT {k} AS k, '{name}' AS split, {share}E0 AS share" for k, (name, share) in enumerate((("train", 0.6), ("validation", 0.15), ("calibration", 0.1), ("test", 0.15))))
+    return f"""WITH a AS (SELECT o_custkey, {d.median(d.days(OBSERVED, DAY))} AS age, {d.sha("concat('20260619', chr(0), CAST(o_custkey AS VARCHAR(20)))")} AS digest FROM orders GROUP BY o_custkey),
+c AS (SELECT o_custkey, digest, substr(digest, 1, 2) AS prefix, CASE WHEN age <= 365.25E0 THEN 0 WHEN age <= 730.5E0 THEN 1 WHEN age <= 1095.75E0 THEN 2 ELSE 3 END AS stratum FROM a),
+b AS (SELECT stratum, prefix, sum(count(*)) OVER (PARTITION BY stratum ORDER BY prefix) - count(*) AS earlier FROM c GROUP BY stratum, prefix),
+g AS (SELECT stratum, n, k, split, share * n AS exact, floor(share * n) AS least FROM (SELECT stratum, count(*) AS n FROM c GROUP BY stratum) s CROSS JOIN ({splits}) f),
+t AS (SELECT stratum, k, split, least + CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY exact - least DESC, k) <= n - sum(least) OVER (PARTITION BY stratum) THEN 1 ELSE 0 END AS size FROM g),
+u AS (SELECT stratum, split, sum(size) OVER (PARTITION BY stratum ORDER BY k) - size AS low, sum(size) OVER (PARTITION BY stratum ORDER BY k) AS high FROM t),
+r AS (SELECT /*+ BROADCAST(b) */ c.o_custkey, c.stratum, b.earlier + row_number() OVER (PARTITION BY c.stratum, c.prefix ORDER BY c.digest, c.o_custkey) - 1 AS place FROM c JOIN b ON c.stratum = b.stratum AND c.prefix = b.prefix)
+SELECT /*+ BROADCAST(u) */ r.o_custkey, u.split FROM r JOIN u ON r.stratum = u.stratum AND r.place >= u.low AND r.place < u.high"""
+
+
 PLANS: dict[str, Callable] = {
     "name_normalize": lambda d: f"SELECT number, {name(d, 'raw_name')} AS normalized_name FROM ({companies(d)}) x",
     "postcode_normalize": lambda d: f"SELECT c_custkey, {d.replace_all("upper(coalesce(concat(c_mktsegment, ' - ', c_name), ''))", '[^A-Z0-9]+', '')} AS postcode FROM customer",
@@ -182,7 +195,7 @@ PLANS: dict[str, Callable] = {
     "amount_features": lambda d: "SELECT o_orderkey, round(ln(1 + greatest(coalesce(o_totalprice, 0), 0)), 9) AS log_amount, CASE WHEN o_totalprice IS NULL OR o_totalprice < 0 THEN 1 ELSE 0 END AS amount_missing FROM orders",
     "prior_history_24m": lambda d: f"SELECT o_orderkey, CAST(count(*) OVER w - count(*) OVER p AS BIGINT) AS prior_n, round(coalesce(sum(o_totalprice) OVER w, 0) - coalesce(sum(o_totalprice) OVER p, 0), 2) AS prior_value FROM (SELECT *, {DAY} AS day FROM orders) x WINDOW w AS (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN INTERVAL '24' MONTH PRECEDING AND CURRENT ROW), p AS (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN CURRENT ROW AND CURRENT ROW)",
     "days_since_prior": lambda d: f"SELECT o_orderkey, CAST(CASE WHEN prior >= {d.days(f"CAST(day - INTERVAL '24' MONTH AS DATE)", "DATE '1990-01-01'")} THEN n - prior END AS BIGINT) AS days_since FROM (SELECT *, max(n) OVER (PARTITION BY o_custkey ORDER BY n RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM (SELECT o_orderkey, o_custkey, {DAY} AS day, {d.days(DAY, "DATE '1990-01-01'")} AS n FROM orders) x) y",
-    "group_split": lambda d: f"SELECT o_custkey, CASE WHEN r * 100 < 60 * n THEN 'train' WHEN r * 100 < 75 * n THEN 'validation' WHEN r * 100 < 85 * n THEN 'calibration' ELSE 'test' END AS split FROM (SELECT o_custkey, row_number() OVER (PARTITION BY stratum ORDER BY digest, o_custkey) - 1 AS r, count(*) OVER (PARTITION BY stratum) AS n FROM (SELECT o_custkey, CASE WHEN {d.median(d.days(OBSERVED, DAY))} <= 1100 THEN 0 ELSE 1 END AS stratum, {d.sha("concat('20260619', chr(0), CAST(o_custkey AS VARCHAR(20)))")} AS digest FROM orders GROUP BY o_custkey) x) y",
+    "group_split": group_split,
     "label_mask": lambda d: "SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END END AS label FROM orders",
     "audit_marginals": lambda d: "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority))",
     "population_comparison": lambda d: "SELECT c_mktsegment, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS positives, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1E0 ELSE 0E0 END), 9) AS rate, count(DISTINCT o_custkey) AS companies FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY GROUPING SETS ((c_mktsegment), ())",
