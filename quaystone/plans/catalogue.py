@@ -49,17 +49,48 @@ def judgments(d) -> str:
     return f"SELECT o_orderkey AS id, o_custkey, {DAY} AS day, o_totalprice AS amount, {STATUS} AS status, o_orderpriority AS type, concat('Customer#', lpad(CAST(o_custkey AS VARCHAR(20)), 9, '0'), CASE WHEN o_orderkey % 3 = 0 THEN ' Ltd.' ELSE '' END) AS raw_name FROM orders"
 
 
+def sources(d) -> str:
+    """Judgments with a company name, a trading name and a postcode: some names are former ones, of another company, or blank."""
+    own = "lpad(CAST(o_custkey AS VARCHAR(20)), 9, '0')"
+    return f"""SELECT id, o_custkey, day, type, CASE WHEN id % 29 = 0 OR id % 7 = 2 THEN ' ' WHEN id % 5 = 1 THEN concat('Former Trader#', {own}, ' Ltd') ELSE raw_name END AS company_name,
+CASE WHEN id % 29 = 0 THEN NULL WHEN id % 7 = 2 THEN raw_name WHEN id % 11 = 3 THEN concat('Former Trader#', {own}) WHEN id % 13 = 4 THEN concat('Customer#', lpad(CAST(o_custkey + 1 AS VARCHAR(20)), 9, '0')) END AS trading_name,
+CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN concat('zz', CAST(o_custkey % 10 AS VARCHAR(20)), ' 9zz') ELSE concat('ab', CAST(o_custkey % 10 AS VARCHAR(20)), ' 1cd') END AS postcode FROM ({judgments(d)}) j"""
+
+
 def companies(d) -> str:
     """A tenth of the companies share a name with another; some lack an incorporation date."""
-    return f"SELECT c_custkey AS number, concat('Customer#', lpad(CAST(CASE WHEN c_custkey % 10 = 0 THEN c_custkey - 1 ELSE c_custkey END AS VARCHAR(20)), 9, '0'), ' LIMITED') AS raw_name, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(DATE '1992-01-01' + INTERVAL '1' DAY * CAST(c_custkey % 900 AS INT) AS DATE) END AS inc, c_custkey % 23 = 0 AS incomplete, c_acctbal, c_mktsegment FROM customer"
+    return f"SELECT c_custkey AS number, concat('Customer#', lpad(CAST(CASE WHEN c_custkey % 10 = 0 THEN c_custkey - 1 ELSE c_custkey END AS VARCHAR(20)), 9, '0'), ' LIMITED') AS raw_name, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(DATE '1992-01-01' + INTERVAL '1' DAY * CAST(c_custkey % 900 AS INT) AS DATE) END AS inc, concat('AB', CAST(c_custkey % 10 AS VARCHAR(20)), '1CD') AS postcode, c_acctbal, c_mktsegment FROM customer"
+
+
+def former_names(d) -> str:
+    """Former names of companies: own ones, a second change on another or the same day, another company's current name, undated ones and blank ones."""
+    own = "lpad(CAST(c_custkey AS VARCHAR(20)), 9, '0')"
+    change = "CAST(DATE '1992-06-01' + INTERVAL '1' DAY * CAST(c_custkey * 7 % 2000 AS INT) AS DATE)"
+    return f"""SELECT c_custkey AS number, {change} AS change, concat('Former Trader#', {own}, ' LTD') AS raw FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, CAST({change} + INTERVAL '1' DAY * CAST(CASE WHEN c_custkey % 12 = 0 THEN 0 ELSE 400 END AS INT) AS DATE), concat('Second Trader#', {own}) FROM customer WHERE c_custkey % 6 = 0
+UNION ALL SELECT c_custkey, DATE '1996-01-01', concat('Customer#', lpad(CAST(c_custkey + 1 AS VARCHAR(20)), 9, '0')) FROM customer WHERE c_custkey % 20 = 7
+UNION ALL SELECT c_custkey, CAST(NULL AS DATE), CASE WHEN c_custkey % 2 = 0 THEN concat('Undated#', {own}) ELSE ' ' END FROM customer WHERE c_custkey % 23 = 0"""
 
 
 def linked(d) -> str:
-    return f"""WITH j AS (SELECT *, {name(d, 'raw_name')} AS n FROM ({judgments(d)}) x),
-c AS (SELECT *, {name(d, 'raw_name')} AS n FROM ({companies(d)}) x),
-cand AS (SELECT j.id, c.number, CASE WHEN c.inc IS NULL THEN 'missing' WHEN c.incomplete THEN 'incomplete' WHEN j.day < c.inc THEN 'rejected' ELSE 'valid' END AS class FROM j JOIN c ON j.n = c.n WHERE j.n <> ''),
-agg AS (SELECT id, count(DISTINCT CASE WHEN class = 'valid' THEN number END) AS valid, count(DISTINCT CASE WHEN class = 'missing' THEN number END) AS missing, count(DISTINCT CASE WHEN class = 'incomplete' THEN number END) AS incomplete, count(DISTINCT CASE WHEN class = 'rejected' THEN number END) AS rejected, min(CASE WHEN class = 'valid' THEN number END) AS number FROM cand GROUP BY id),
-m AS (SELECT j.*, CASE WHEN valid = 1 AND missing + incomplete = 0 THEN agg.number END AS matched, CASE WHEN valid = 1 AND missing + incomplete = 0 THEN 'unique_exact_name' WHEN j.n = '' THEN 'missing_name' WHEN valid + missing + incomplete > 1 THEN 'exact_name_not_uniquely_verifiable' WHEN rejected > 0 THEN 'exact_name_post_incorporation' WHEN missing > 0 THEN 'exact_name_missing_incorporation_date' WHEN incomplete > 0 THEN 'exact_name_incomplete_name_history' ELSE 'no_date_valid_unique_exact_name' END AS reason, CAST(coalesce(CASE WHEN valid = 1 AND missing + incomplete = 0 THEN 1 ELSE valid + missing + incomplete END, 0) AS BIGINT) AS candidates FROM j LEFT JOIN agg ON j.id = agg.id)
+    """E1, E2 and K16: source names meet every name of a company, current or former; m has one row for each judgment.
+
+    A candidate is valid where a period [valid_from, valid_to) of that name holds the day; one whose
+    periods do not is of class none and blocks nothing. The first source field, then the first kind, stand for a company.
+    """
+    postcode = lambda x: d.replace_all(f"upper(coalesce({x}, ''))", "[^A-Z0-9]+", "")
+    distinct = ", ".join(f"count(DISTINCT CASE WHEN class = '{c}' THEN number END) AS {c}" for c in ("valid", "missing", "incomplete", "rejected"))
+    return f"""WITH j AS (SELECT *, {name(d, 'company_name')} AS cn, {name(d, 'trading_name')} AS tn, {postcode('postcode')} AS pc FROM ({sources(d)}) x),
+src AS (SELECT id, day, 'company_name' AS field, cn AS n FROM j WHERE cn <> '' UNION ALL SELECT id, day, 'trading_name', tn FROM j WHERE tn <> ''),
+co AS (SELECT number, inc, {postcode('postcode')} AS pc FROM ({companies(d)}) x),
+old AS (SELECT * FROM (SELECT number, change, {name(d, 'raw')} AS n FROM ({former_names(d)}) x) y WHERE n <> ''),
+per AS ({name_periods(d, former_names(d))}),
+hist AS (SELECT o.number, o.given, coalesce(p.dated, 0) AS dated FROM (SELECT number, count(*) AS given FROM old GROUP BY number) o LEFT JOIN (SELECT number, count(*) AS dated FROM per WHERE kind = 'former' GROUP BY number) p ON o.number = p.number),
+names AS (SELECT number, normalized_name AS n, valid_from, valid_to, kind FROM per WHERE normalized_name <> '' UNION ALL SELECT number, n, CAST(NULL AS DATE), CAST(NULL AS DATE), 'unplaced' FROM old),
+cand AS (SELECT src.id, co.number, co.pc, src.field, names.kind, CASE WHEN co.inc IS NULL THEN 'missing' WHEN hist.given > hist.dated THEN 'incomplete' WHEN src.day < co.inc THEN 'rejected' WHEN names.kind <> 'unplaced' AND (valid_from IS NULL OR valid_from <= src.day) AND (valid_to IS NULL OR src.day < valid_to) THEN 'valid' ELSE 'none' END AS class FROM src JOIN names ON src.n = names.n JOIN co ON names.number = co.number LEFT JOIN hist ON co.number = hist.number),
+agg AS (SELECT id, {distinct}, min(CASE WHEN class = 'valid' THEN number END) AS number, min(CASE WHEN class = 'valid' THEN pc END) AS pc, min(CASE WHEN class = 'valid' THEN concat(field, '|', kind) END) AS place FROM cand GROUP BY id),
+f AS (SELECT j.id, j.day, j.type, j.cn, j.tn, j.pc, agg.pc AS company_pc, agg.number, place, coalesce(valid, 0) AS valid, coalesce(missing, 0) AS missing, coalesce(incomplete, 0) AS incomplete, coalesce(rejected, 0) AS rejected, coalesce(valid = 1 AND missing + incomplete = 0, false) AS accepted FROM j LEFT JOIN agg ON j.id = agg.id),
+m AS (SELECT id, day, type, CASE WHEN accepted THEN number END AS matched, CASE WHEN accepted THEN place END AS place, accepted AND pc <> '' AND pc = company_pc AS postcode_agrees, CASE WHEN accepted AND pc = '' THEN 'unique_exact_name_postcode_missing' WHEN accepted AND pc = company_pc THEN 'unique_exact_name_postcode_agrees' WHEN accepted THEN 'unique_exact_name_postcode_differs' WHEN cn = '' AND tn = '' THEN 'missing_name' WHEN valid + missing + incomplete > 1 THEN 'exact_name_not_uniquely_verifiable' WHEN rejected > 0 THEN 'exact_name_post_incorporation' WHEN missing > 0 THEN 'exact_name_missing_incorporation_date' WHEN incomplete > 0 THEN 'exact_name_incomplete_name_history' ELSE 'no_date_valid_unique_exact_name' END AS reason, CAST(valid + missing + incomplete AS BIGINT) AS candidates FROM f)
 """
 
 
@@ -67,9 +98,10 @@ def scored(d) -> str:
     return "WITH s AS (SELECT doc_id, toxic AS y, CAST((doc_id * 37) % 100 + 0.5 AS DOUBLE) / 100 AS p FROM labels)\n"
 
 
-def name_periods(d) -> str:
+def name_periods(d, former: str | None = None) -> str:
     """Half-open periods of former and current names; changes on or before incorporation, or on a day already taken, count as invalid."""
-    return f"""WITH former AS (SELECT f.number, f.change, {name(d, 'f.raw')} AS nm, c.inc FROM (SELECT o_custkey AS number, CASE WHEN o_orderkey % 11 <> 0 THEN {DAY} END AS change, concat('Name ', CAST(o_orderkey % 5 AS VARCHAR(20)), ' LTD') AS raw FROM orders) f JOIN ({companies(d)}) c ON f.number = c.number WHERE f.change IS NOT NULL),
+    former = former or f"SELECT o_custkey AS number, CASE WHEN o_orderkey % 11 <> 0 THEN {DAY} END AS change, concat('Name ', CAST(o_orderkey % 5 AS VARCHAR(20)), ' LTD') AS raw FROM orders"
+    return f"""WITH former AS (SELECT f.number, f.change, {name(d, 'f.raw')} AS nm, c.inc FROM ({former}) f JOIN ({companies(d)}) c ON f.number = c.number WHERE f.change IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY number, change ORDER BY nm) AS r FROM former WHERE nm <> '' AND (inc IS NULL OR change > inc)),
 kept AS (SELECT number, change, nm, inc FROM ranked WHERE r = 1)
 SELECT number, nm AS normalized_name, coalesce(lag(change) OVER (PARTITION BY number ORDER BY change), inc) AS valid_from, change AS valid_to, 'former' AS kind FROM kept
@@ -176,7 +208,7 @@ PLANS: dict[str, Callable] = {
     "lag_and_age": lambda d: f"SELECT l_orderkey, l_linenumber, CAST({d.days('CAST(l_shipdate AS DATE)', DAY)} AS BIGINT) AS lag_days, CAST({d.days(OBSERVED, DAY)} AS BIGINT) AS age_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "name_periods": name_periods,
     "systematic_sample": systematic_sample,
-    "linkage_unique_exact": lambda d: linked(d) + "SELECT id, matched, reason, candidates FROM m",
+    "linkage_unique_exact": lambda d: linked(d) + "SELECT id, matched, place, postcode_agrees, reason, candidates FROM m",
     "linkage_reasons": lambda d: linked(d) + "SELECT reason, count(*) AS n, round(count(*) * 1.0E0 / sum(count(*)) OVER (), 9) AS share FROM m GROUP BY reason",
     "linkage_guards": lambda d: linked(d) + "SELECT CAST(sum(CASE WHEN matched IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS accepted, CAST(sum(CASE WHEN candidates > 1 THEN 1 ELSE 0 END) AS BIGINT) AS ambiguous, count(DISTINCT matched) AS companies FROM m",
     "match_by_type": lambda d: linked(d) + "SELECT type, matched IS NOT NULL AS accepted, count(*) AS n FROM m GROUP BY 1, 2",
