@@ -4,10 +4,10 @@ DataFrame functions only.
 Base rules, leftmost non-overlapping for each kind, failing matches dropped:
 ``assign`` a credential name, a sign and a value of 8 or more characters; ``access`` AKIA and its
 run, 16 or more characters in all; ``hex`` a run of 32 or more lower hex digits. The method adds
-kind ``random``: tokens of 20 or more characters with a letter and a digit, whose transitions are
+kind ``random``: tokens of any alphabet, long enough to reach the least odds, whose transitions are
 likelier under a first-order chain of random strings than under one of ordinary identifiers. Both
 chains are trained from labelled samples: random strings drawn from digests in five alphabets
-(label 1), and words of a bounded sample of documents with identifiers joined from them (label 0;
+(label 1), and words of a bounded sample of documents, in capitals too, with identifiers joined from them (label 0;
 at most ``SAMPLE_DOCS`` documents). A token that overlaps a base span is not added.
 
 Offsets are code points, ends exclusive. A null text counts as empty and has no spans. Rows keep
@@ -29,7 +29,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 NAMES = ("password", "passwd", "secret", "token", "api")
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}+"
-TOKEN = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
+TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+"
 KINDS = ("assign", "access", "hex", "random")
 #: Documents in the sample of ordinary identifiers, random strings of each alphabet.
 SAMPLE_DOCS, SAMPLE_STRINGS = 300, 1000
@@ -40,8 +40,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
 SYMBOLS = 65  # of the alphabet, and one for + and /
 
 
-def _matches(text: Column, pattern: str, rank: int, least: int = 0) -> Column:
-    """Spans of a pattern: what stands between matches and the matches themselves, added up from left to right."""
+def _matches(text: Column, pattern: str, rank: int, least: int = 0, among: Column | None = None) -> Column:
+    """Spans of a pattern: what stands between matches and the matches themselves, added up from left to right; only those of the given strings, if any are given."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else whole
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("own"), values.alias("value"))
@@ -52,9 +52,11 @@ def _matches(text: Column, pattern: str, rank: int, least: int = 0) -> Column:
         end = start + F.coalesce(F.length(p["own"]), F.lit(0))
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"))
         fits = p["own"].isNotNull() & (F.length(p["value"]) >= least)
+        fits = fits if among is None else fits & F.array_contains(among, p["own"])
         return F.struct(end.alias("at"), F.when(fits, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, empty, add, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    some = text.rlike(pattern) if among is None else F.size(among) > 0
+    return F.when(some, F.aggregate(parts, empty, add, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
 
 def _symbols(token: Column) -> Column:
@@ -80,7 +82,7 @@ def train(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> lis
     number = lambda i: F.pmod(F.xxhash64(F.get("w", i)), F.lit(10_000)).cast("string")
 
     def variants(w: Column, i: Column) -> Column:
-        return F.array(w, F.concat(w, F.lit("_"), next_word(i)), F.concat(w, F.initcap(next_word(i))), F.concat(w, F.lit("-"), next_word(i)), F.concat(w, F.lit("_"), number(i)), F.concat(w, F.lit("/"), next_word(i), F.lit("-20"), F.substr(number(i), F.lit(1), F.lit(2)), F.lit("-01")))
+        return F.array(w, F.concat(w, F.lit("_"), next_word(i)), F.concat(w, F.initcap(next_word(i))), F.concat(w, F.lit("-"), next_word(i)), F.concat(w, F.lit("_"), number(i)), F.concat(w, F.lit("/"), next_word(i), F.lit("-20"), F.substr(number(i), F.lit(1), F.lit(2)), F.lit("-01")), F.upper(w), F.concat(F.upper(w), F.lit("_"), F.upper(next_word(i))))
 
     chosen = fixed(chosen, w=F.col("w"))
     ordinary = chosen.where(F.size("w") > 0).select(F.explode(F.flatten(F.transform("w", variants))).alias("token"))
@@ -118,12 +120,18 @@ def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id", ratios:
         named = named | F.contains(lower, F.lit(word))
     none = F.array().cast(SPAN)
     base = F.concat(F.when(named, _matches(body, ASSIGN, 0, 8)).otherwise(none), F.when(F.contains(body, F.lit("AKIA")), _matches(body, ACCESS, 1)).otherwise(none), _matches(body, HEX, 2))
-    out = fixed(docs, __base=base, __tokens=_matches(body, TOKEN, 3))
-    random = lambda s: _is_random(F.substr(body, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), ratios)
+    token = TOKEN % _least_length(ratios)
+    words = F.filter(F.array_distinct(F.regexp_extract_all(body, F.lit(token), F.lit(0))), lambda t: _is_random(t, ratios))
+    out = fixed(fixed(docs, __base=base, __words=words), __tokens=_matches(body, token, 3, among=F.col("__words")))
     free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter("__tokens", lambda s: free(s) & random(s))
+    added = F.filter("__tokens", free)
     found = F.array_sort(F.concat("__base", added), lambda a, b: F.signum((a["start"] - b["start"]) * 8 + (a["rank"] - b["rank"])).cast("int"))
-    return fixed(out, **{spans: found}).drop("__base", "__tokens")
+    return fixed(out, **{spans: found}).drop("__base", "__words", "__tokens")
+
+
+def _least_length(ratios: list[float]) -> int:
+    """Length of the shortest token that can reach LEAST_ODDS."""
+    return 1 + max(1, math.ceil(LEAST_ODDS / max(max(ratios), 1e-9)))
 
 
 def _is_random(token: Column, ratios: list[float]) -> Column:

@@ -56,6 +56,19 @@ def test_secrets(docs):
     assert found[0] == found[1] == found[4] == ""
 
 
+def test_random_tokens_of_letters_alone_and_of_16_characters(spark):
+    rng = random.Random(4)
+    letters, lower = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    prose = "the house stands near the river and THE water is cold in winter with_some long-distance travellers"
+    keys = ["".join(rng.choice(alphabet) for _ in range(n)) for alphabet, n in ((letters, 20), (letters, 32), (letters + "0123456789", 16), (lower, 40))]
+    rows = [(i, prose) for i in range(20)] + [(100 + i, f"{prose} {key} é {key}, end") for i, key in enumerate(keys)]
+    found = {r.doc_id: r.s for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), ratios=secrets.train(spark.createDataFrame(rows[:20], "doc_id long, text string"))).select("doc_id", secrets.as_text(F.col("spans")).alias("s")).collect()}
+    for i, key in enumerate(keys):
+        at = len(prose) + 1
+        assert found[100 + i] == f"random:{at}:{at + len(key)},random:{at + len(key) + 3}:{at + 2 * len(key) + 3}"
+    assert not any(found[i] for i in range(20))
+
+
 def test_repeats(docs):
     found = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
     seen, n = set(), 0
