@@ -15,14 +15,16 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 class Spark:
+    minus = "-$1"
     days = staticmethod(lambda a, b: f"datediff({a}, {b})")
     sha = staticmethod(lambda x: f"sha2({x}, 256)")
-    replace_all = staticmethod(lambda x, p, by: f"regexp_replace({x}, '{p}', '{by}')")
+    replace_all = staticmethod(lambda x, p, by: f"regexp_replace({x}, r'{p}', '{by}')")
     matches = staticmethod(lambda x, p: f"({x} rlike r'{p}')")
     median = staticmethod(lambda x: f"median({x})")
 
 
 class Duck:
+    minus = "-\\1"
     days = staticmethod(lambda a, b: f"datediff('day', {b}, {a})")
     sha = staticmethod(lambda x: f"sha256({x})")
     replace_all = staticmethod(lambda x, p, by: f"regexp_replace({x}, '{p}', '{by}', 'g')")
@@ -32,6 +34,8 @@ class Duck:
 
 # Legal suffixes dropped from the end of a name.
 SUFFIXES = ("PRIVATE LIMITED COMPANY", "PUBLIC LIMITED COMPANY", "LIMITED LIABILITY PARTNERSHIP", "LIMITED PARTNERSHIP", "COMMUNITY INTEREST COMPANY", "LIMITED", "LTD", "PLC", "LLP", "LP", "CIC", "COMPANY", "CO", "INCORPORATED", "INC", "CORPORATION")
+# Words after which a name is another one; the name is cut there.
+ALIAS = "T\\s*/\\s*A|TRADING\\s+AS|FORMERLY"
 DAY = "CAST(o_orderdate AS DATE)"
 OBSERVED = "DATE '1998-09-01'"
 STATUS = "CASE o_orderstatus WHEN 'F' THEN 'Satisfied' WHEN 'O' THEN 'Unsatisfied' ELSE 'Cancelled' END"
@@ -40,11 +44,18 @@ STATUS = "CASE o_orderstatus WHEN 'F' THEN 'Satisfied' WHEN 'O' THEN 'Unsatisfie
 def name(d, x: str) -> str:
     """C1 on ASCII names."""
     x = f"replace(upper(coalesce({x}, '')), '&', ' AND ')"
-    x = d.replace_all(x, "\\([^)]*\\)" if d is Duck else "\\\\([^)]*\\\\)", " ")
+    x = d.replace_all(x, "\\([^)]*\\)", " ")
+    x = d.replace_all(x, f"(^|[^A-Z0-9_])({ALIAS})([^A-Z0-9_][\\s\\S]*)?\\z", " ")
     x = f"trim({d.replace_all(x, '[^A-Z0-9]+', ' ')})"
     return f"trim({d.replace_all(f"concat(' ', {x})", f'( ({"|".join(SUFFIXES)}))+$', '')})"
 
 
+def amount(d, x: str) -> str:
+    """C6: pound signs and commas dropped, an amount in brackets negative; null where that is no number."""
+    x = d.replace_all(f"trim(coalesce({x}, ''))", "[£,]", "")
+    return f"TRY_CAST({d.replace_all(x, '^\\((.*)\\)$', d.minus)} AS DOUBLE)"
+
+
 def judgments(d) -> str:
     return f"SELECT o_orderkey AS id, o_custkey, {DAY} AS day, o_totalprice AS amount, {STATUS} AS status, o_orderpriority AS type, concat('Customer#', lpad(CAST(o_custkey AS VARCHAR(20)), 9, '0'), CASE WHEN o_orderkey % 3 = 0 THEN ' Ltd.' ELSE '' END) AS raw_name FROM orders"
 
@@ -198,10 +209,10 @@ SELECT /*+ BROADCAST(u) */ r.o_custkey, u.split FROM r JOIN u ON r.stratum = u.s
 
 
 PLANS: dict[str, Callable] = {
-    "name_normalize": lambda d: f"SELECT number, {name(d, 'raw_name')} AS normalized_name FROM ({companies(d)}) x",
+    "name_normalize": lambda d: f"SELECT number, {name(d, 'raw_name')} AS normalized_name, {name(d, "concat(raw_name, CASE number % 4 WHEN 0 THEN ' T/A Beta' WHEN 1 THEN ' trading  as Beta Ltd' WHEN 2 THEN ', formerly Beta' ELSE ' Formerlys' END)")} AS normalized_alias FROM ({companies(d)}) x",
     "postcode_normalize": lambda d: f"SELECT c_custkey, {d.replace_all("upper(coalesce(concat(c_mktsegment, ' - ', c_name), ''))", '[^A-Z0-9]+', '')} AS postcode FROM customer",
     "coded_values": lambda d: f"SELECT o_orderkey, {STATUS} AS status FROM orders",
-    "amount_parse": lambda d: f"SELECT o_orderkey, TRY_CAST({d.replace_all("concat('£', CAST(o_orderkey AS VARCHAR(20)), ',000')", '[£,]', '')} AS DOUBLE) AS amount, TRY_CAST(CASE WHEN o_orderkey % 7 = 0 THEN 'bad' ELSE '5' END AS DOUBLE) AS parsed FROM orders",
+    "amount_parse": lambda d: f"SELECT o_orderkey, {amount(d, 'raw')} AS amount, trim(raw) <> '' AND {amount(d, 'raw')} IS NULL AS invalid FROM (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'bad' WHEN 1 THEN concat('(', CAST(o_orderkey AS VARCHAR(20)), ')') WHEN 2 THEN concat(' (£', CAST(o_orderkey AS VARCHAR(20)), ',000.50) ') WHEN 3 THEN ' ' ELSE concat('£', CAST(o_orderkey AS VARCHAR(20)), ',000') END AS raw FROM orders) x",
     "bucket_amount": lambda d: "SELECT CASE WHEN o_totalprice IS NULL THEN 'amount_missing' WHEN o_totalprice < 500 THEN 'under_500' WHEN o_totalprice < 1000 THEN '500_to_999' WHEN o_totalprice < 5000 THEN '1000_to_4999' WHEN o_totalprice < 25000 THEN '5000_to_24999' ELSE '25000_plus' END AS band, count(*) AS n FROM orders GROUP BY 1",
     "bucket_lag": lambda d: f"SELECT CASE WHEN lag < 0 THEN 'negative' WHEN lag < 1 THEN '0' WHEN lag < 2 THEN '1' WHEN lag < 6 THEN '2_to_5' WHEN lag < 31 THEN '6_to_30' ELSE '31_plus' END AS band, count(*) AS n FROM (SELECT {d.days('CAST(l_shipdate AS DATE)', DAY)} AS lag FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x GROUP BY 1",
     "bucket_age": lambda d: f"SELECT CASE WHEN m > 1 AND m <= 12 THEN '1_to_12' WHEN m > 12 AND m <= 24 THEN '12_to_24' WHEN m > 24 AND m <= 36 THEN '24_to_36' WHEN m > 36 AND m <= 48 THEN '36_to_48' ELSE 'outside_or_missing' END AS band, count(*) AS n FROM (SELECT {d.days(OBSERVED, DAY)} / 30.4375 AS m FROM orders) x GROUP BY 1",
@@ -221,9 +232,9 @@ PLANS: dict[str, Callable] = {
     "stratum_metadata_check": lambda d: "SELECT o_orderpriority AS stratum, count(*) AS population_n, CAST(least(count(*), 50) AS BIGINT) AS sample_n, round(least(count(*), 50) * 1.0E0 / count(*), 9) AS inclusion_probability, round(count(*) * 1.0E0 / least(count(*), 50), 9) AS sampling_weight FROM orders GROUP BY 1",
     "wilson_by_stratum": lambda d: "SELECT quality, n, round((p + 1.92072941E0 / n - 1.95996398E0 * sqrt(p * (1 - p) / n + 0.960364705E0 / (n * n))) / (1 + 3.84145882E0 / n), 6) AS low, round((p + 1.92072941E0 / n + 1.95996398E0 * sqrt(p * (1 - p) / n + 0.960364705E0 / (n * n))) / (1 + 3.84145882E0 / n), 6) AS high FROM (SELECT quality, count(*) AS n, avg(CAST(toxic AS DOUBLE)) AS p FROM labels GROUP BY quality) x",
     "weighted_prevalence": lambda d: "SELECT round(sum(n * p) / sum(n), 9) AS prevalence FROM (SELECT d.lang, count(*) AS n, avg(CAST(toxic AS DOUBLE)) AS p FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang) x",
-    "reviewer_agreement_kappa": lambda d: "SELECT arm, n, round(agreement, 9) AS agreement, CASE WHEN abs(1 - e) < 1E-12 THEN NULL ELSE round((agreement - e) / (1 - e), 9) END AS kappa FROM (SELECT arm, count(*) AS n, avg(CASE WHEN a = b THEN 1E0 ELSE 0E0 END) AS agreement, avg(CAST(a AS DOUBLE)) * avg(CAST(b AS DOUBLE)) + (1 - avg(CAST(a AS DOUBLE))) * (1 - avg(CAST(b AS DOUBLE))) AS e FROM (SELECT quality AS arm, toxic AS a, CASE WHEN doc_id % 9 = 0 THEN 1 - toxic ELSE toxic END AS b FROM labels) x GROUP BY arm) y",
+    "reviewer_agreement_kappa": lambda d: "SELECT arm, n, round(agreement, 9) AS agreement, CASE WHEN abs(1 - e) < 1E-12 THEN NULL ELSE round((agreement - e) / (1 - e), 9) END AS kappa FROM (SELECT CASE WHEN grouping(arm) = 1 THEN 'overall' ELSE CAST(arm AS VARCHAR(20)) END AS arm, count(*) AS n, avg(CASE WHEN a = b THEN 1E0 ELSE 0E0 END) AS agreement, avg(CAST(a AS DOUBLE)) * avg(CAST(b AS DOUBLE)) + (1 - avg(CAST(a AS DOUBLE))) * (1 - avg(CAST(b AS DOUBLE))) AS e FROM (SELECT quality AS arm, toxic AS a, CASE WHEN doc_id % 9 = 0 THEN 1 - toxic ELSE toxic END AS b FROM labels) x GROUP BY GROUPING SETS ((arm), ())) y",
     "cohort_filter_funnel": lambda d: f"SELECT count(*) AS all_rows, CAST(sum(CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END) AS BIGINT) AS labelled, CAST(sum(CASE WHEN o_orderstatus <> 'P' AND {DAY} >= CAST({OBSERVED} - INTERVAL '48' MONTH AS DATE) AND {DAY} < CAST({OBSERVED} - INTERVAL '1' MONTH AS DATE) THEN 1 ELSE 0 END) AS BIGINT) AS in_window FROM orders",
-    "age_basis_features": lambda d: f"SELECT o_orderkey, round(m, 9) AS months, round(power(m / 48, 2), 9) AS squared, round(power(greatest(m - 12, 0) / 48, 3), 9) AS knot12 FROM (SELECT o_orderkey, {d.days(OBSERVED, DAY)} / (365.25E0 / 12) AS m FROM orders) x",
+    "age_basis_features": lambda d: f"SELECT o_orderkey, round(m, 9) AS months, round(power(m / 48, 2), 9) AS squared, round(power(m / 48, 3), 9) + 0E0 AS cubed, {', '.join(f'round(power(greatest(m - {k}, 0) / 48, 3), 9) AS knot{k}' for k in (12, 24, 36))} FROM (SELECT o_orderkey, {d.days(OBSERVED, DAY)} / (365.25E0 / 12) AS m FROM orders) x",
     "amount_features": lambda d: "SELECT o_orderkey, round(ln(1 + greatest(coalesce(o_totalprice, 0), 0)), 9) AS log_amount, CASE WHEN o_totalprice IS NULL OR o_totalprice < 0 THEN 1 ELSE 0 END AS amount_missing FROM orders",
     "prior_history_24m": lambda d: f"SELECT o_orderkey, CAST(count(*) OVER w - count(*) OVER p AS BIGINT) AS prior_n, round(coalesce(sum(o_totalprice) OVER w, 0) - coalesce(sum(o_totalprice) OVER p, 0), 2) AS prior_value FROM (SELECT *, {DAY} AS day FROM orders) x WINDOW w AS (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN INTERVAL '24' MONTH PRECEDING AND CURRENT ROW), p AS (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN CURRENT ROW AND CURRENT ROW)",
     "days_since_prior": lambda d: f"SELECT o_orderkey, CAST(CASE WHEN prior >= {d.days(f"CAST(day - INTERVAL '24' MONTH AS DATE)", "DATE '1990-01-01'")} THEN n - prior END AS BIGINT) AS days_since FROM (SELECT *, max(n) OVER (PARTITION BY o_custkey ORDER BY n RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM (SELECT o_orderkey, o_custkey, {DAY} AS day, {d.days(DAY, "DATE '1990-01-01'")} AS n FROM orders) x) y",
@@ -233,7 +244,7 @@ PLANS: dict[str, Callable] = {
     "population_comparison": lambda d: "SELECT c_mktsegment, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS positives, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1E0 ELSE 0E0 END), 9) AS rate, count(DISTINCT o_custkey) AS companies FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY GROUPING SETS ((c_mktsegment), ())",
     "auc_brier_logloss": lambda d: scored(d) + "SELECT round((sum(CASE WHEN y = 1 THEN mid ELSE 0 END) - sum(y) * (sum(y) + 1) / 2E0) / (sum(y) * (count(*) - sum(y))), 9) AS auc, round(avg((p - y) * (p - y)), 9) AS brier, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 9) AS log_loss FROM (SELECT s.*, t.mid FROM s JOIN (SELECT p, sum(count(*)) OVER (ORDER BY p) - (count(*) - 1) / 2E0 AS mid FROM s GROUP BY p) t ON s.p = t.p) x",
     "average_precision": lambda d: scored(d) + "SELECT round(sum(hits * tp * 1E0 / n) / sum(hits), 9) AS ap FROM (SELECT sum(y) AS hits, sum(sum(y)) OVER (ORDER BY p DESC) AS tp, sum(count(*)) OVER (ORDER BY p DESC) AS n FROM s GROUP BY p) x",
-    "capacity_metrics": lambda d: scored(d) + "SELECT f AS fraction, k, CAST(hits AS BIGINT) AS hits, round(hits * 1E0 / k, 9) AS rate FROM (SELECT f, k, sum(CASE WHEN r <= k THEN y ELSE 0 END) AS hits FROM (SELECT y, row_number() OVER (ORDER BY p DESC, doc_id) AS r, count(*) OVER () AS n FROM s) x JOIN (SELECT 0.05E0 AS f UNION ALL SELECT 0.1E0 UNION ALL SELECT 0.2E0) g ON true JOIN (SELECT 0.05E0 AS f2, CAST(greatest(1, ceil(count(*) * 0.05E0)) AS BIGINT) AS k FROM s UNION ALL SELECT 0.1E0, CAST(greatest(1, ceil(count(*) * 0.1E0)) AS BIGINT) FROM s UNION ALL SELECT 0.2E0, CAST(greatest(1, ceil(count(*) * 0.2E0)) AS BIGINT) FROM s) h ON f = f2 GROUP BY f, k) z",
+    "capacity_metrics": lambda d: scored(d) + f"SELECT f AS fraction, k, hits, round(hits * 1E0 / k, 9) AS rate, CASE WHEN positives > 0 THEN round(hits * 1E0 / k / (positives * 1E0 / n), 9) END AS lift, CASE WHEN positives > 0 THEN round(hits * 1E0 / positives, 9) END AS recall FROM (SELECT f, k, n, positives, CAST(sum(CASE WHEN r <= k THEN y ELSE 0 END) AS BIGINT) AS hits FROM (SELECT y, row_number() OVER (ORDER BY p DESC, doc_id) AS r FROM s) x CROSS JOIN (SELECT f, n, positives, CAST(greatest(1, ceil(n * f)) AS BIGINT) AS k FROM (SELECT count(*) AS n, sum(y) AS positives FROM s) t CROSS JOIN ({' UNION ALL '.join(f'SELECT {f}E0 AS f' for f in (0.01, 0.02, 0.05, 0.1, 0.2))}) g) h GROUP BY f, k, n, positives) z",
     "reliability_table": lambda d: scored(d) + "SELECT CAST(bin AS BIGINT) AS bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(CAST(y AS DOUBLE)), 9) AS rate FROM (SELECT p, y, ntile(10) OVER (ORDER BY p, doc_id) AS bin FROM s) x GROUP BY bin",
     "small_cell_suppression": lambda d: "SELECT o_custkey, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) x WHERE NOT (n > 0 AND n < 10)",
     "identifier_scan": identifier_scan,
