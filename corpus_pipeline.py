@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("decontamination", drop_leaks), ("secrets", redact_secrets), ("byte bpe", encode)]
 
-#: SQL can't express the learnt and sketched stages; tests hold them against brute force.
+#: SQL can't express the learnt and sketched stages; tests/test_pipeline.py holds them against known decisions on a small table (no document is toxic there).
 ORACLE_SQL: str | None = None
 
 
