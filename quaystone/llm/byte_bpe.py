@@ -5,8 +5,10 @@ symbol is a function between a few scanner states; the functions form a small mo
 products are found by table look-ups and prefix products by a two-level scan. A token starts where
 the state before a symbol says so, hence no regular expression and no loop over characters.
 
-Nulls count as empty texts and give no ids. Rows keep their order and number; other columns pass
-through, and a column named like an output is replaced.
+Nulls count as empty texts and give no ids. Rows keep their order and number, repeated rows too;
+other columns pass through, and a column named like an output (in any case of letters) is replaced.
+A long text is handled alone, whole; an empty table gives no rows. Between equal pairs the leftmost
+is merged first.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ragged, row_chunks, text_view
+from .common import ragged, row_chunks, span_hashes, span_words, text_view
 
 # Symbols. LONG: an apostrophe before "re", "ve" or "ll"; SHORT: before s, t, m or d.
 LETTER, DIGIT, BLANK, SPACE, OTHER, SHORT, LONG, BEGIN = range(8)
@@ -30,7 +32,7 @@ LETTER, DIGIT, BLANK, SPACE, OTHER, SHORT, LONG, BEGIN = range(8)
 FORCED, S_LETTER, S_DIGIT, S_BLANK, S_SPACE, S_OTHER, EAT1, EAT2 = range(8)
 #: Words cached in a worker; the cache is emptied beyond that.
 CACHE_WORDS = 400_000
-#: Longest slice that is keyed by its hash and merged in a matrix.
+#: Longest slice that is cached and merged in a matrix.
 MATRIX_LENGTH = 32
 _NONE = np.int32(2**31 - 1)
 
@@ -154,6 +156,25 @@ def slice_starts(points: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~joins)
 
 
+def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one slice of each text, the place in it of every slice). Slices are told apart by hashes, and the bytes of those with equal hashes are compared."""
+    _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    owner = first[inverse]
+    same = ends - starts == (ends - starts)[owner]
+    for at, word in span_words(data, starts, ends, MATRIX_LENGTH):
+        words = np.zeros(len(starts), np.uint64)
+        words[at] = word
+        same &= words == words[owner]
+    raw = data.tobytes()
+    for i in np.flatnonzero(same & (ends - starts > MATRIX_LENGTH) & (owner != np.arange(len(starts)))).tolist():
+        same[i] = raw[starts[i] : ends[i]] == raw[starts[owner[i]] : ends[owner[i]]]
+    if not same.all():
+        seen: dict[bytes, int] = {}
+        inverse = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        _, first = np.unique(inverse, return_index=True)
+    return first, inverse
+
+
 class Codec:
     """Encoder and decoder of one rank file."""
 
@@ -184,7 +205,7 @@ class Codec:
         for i in range(self.size):
             text = f"{i} ".encode()
             self.decimal[i, : len(text)] = np.frombuffer(text, np.uint8)
-        self.cache: dict[int, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         code = a.astype(np.int64) * self.size + b
@@ -260,8 +281,6 @@ class Codec:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, ids before each row, byte offset of each id in its text) of a string column."""
-        from .common import prefix_hashes, span_hashes
-
         data, at = text_view(column)
         lead = (data & 0xC0) != 0x80
         point_bytes = np.flatnonzero(lead)
@@ -271,18 +290,18 @@ class Codec:
         starts = point_bytes[slice_starts(points, points_before[at])]
         lengths = np.diff(np.append(starts, len(data)))
         row_of = np.searchsorted(at, starts, side="right") - 1
-        keys = span_hashes(prefix_hashes(data), starts, starts + lengths)
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        unique, inverse = distinct_slices(data, starts, starts + lengths)
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        long = lengths[first] > MATRIX_LENGTH
-        names = unique.tolist()
+        raw = data.tobytes()
+        names = [raw[a:b] for a, b in zip(starts[unique].tolist(), (starts + lengths)[unique].tolist(), strict=True)]
         found = [self.cache.get(k) for k in names]
+        long = lengths[unique] > MATRIX_LENGTH
         new = np.array([i for i, x in enumerate(found) if x is None and not long[i]], np.int64)
-        for i, ids in zip(new.tolist(), self.merge_many(data, starts[first[new]], lengths[first[new]]), strict=True):
+        for i, ids in zip(new.tolist(), self.merge_many(data, starts[unique[new]], lengths[unique[new]]), strict=True):
             found[i] = self.cache[names[i]] = ids
         for i in np.flatnonzero(long).tolist():
-            found[i] = self.merge_one(data[starts[first[i]] : starts[first[i]] + lengths[first[i]]].tobytes()).tobytes()
+            found[i] = self.merge_one(names[i]).tobytes()
         flat = np.frombuffer(b"".join(found), np.int32)
         counts = np.array([len(x) for x in found], np.int64) // 4
         begins = np.cumsum(counts) - counts

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: The bytes between words in the contracts' ``[^\x20\x09-\x0D]+``.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
+#: Longest span in bytes that is hashed word by word.
+SHORT_SPAN = 64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -27,10 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the folder the session names; one of our own only where none is set."""
+    """``checkpoint()`` in the folder that ``spark.checkpoint.dir`` names, which all executors share.
+
+    Only where driver and executors are one process, a temporary folder will do if it is unset.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/quaystone-checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quaystone-checkpoints-"))
     return df.checkpoint()
 
 
@@ -43,29 +54,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S33)
 
 
-@lru_cache(maxsize=1)
-def _powers_of(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(size, _BASE, np.uint64), np.full(size, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the rolling base and of its inverse modulo 2**64, at least ``n + 1`` of each."""
-    size = max(CHUNK_BYTES + 1, 1 << (n + 1).bit_length())
-    return _powers_of(size)
-
-
-@lru_cache(maxsize=2)
-def byte_values(lower: bool) -> np.ndarray:
-    """A random 64-bit value for each byte; A-Z like a-z if ``lower``."""
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    if lower:
-        values[65:91] = values[97:123]
-    return values
-
-
 @lru_cache(maxsize=1)
 def _is_word() -> np.ndarray:
     lut = np.ones(256, bool)
@@ -112,18 +100,48 @@ def word_spans(buffer: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(last) + 1, np.searchsorted(at, starts, side="right") - 1
 
 
-def prefix_hashes(buffer: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Running polynomial sums, for the hash of any span by ``span_hashes``."""
-    up, _ = powers(len(buffer))
-    sums = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(byte_values(lower)[buffer] * up[: len(buffer)], out=sums[1:])
-    return sums
-
-
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand."""
-    _, down = powers(len(sums) - 1)
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M2)
+def lowered(buffer: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return np.where((buffer >= 65) & (buffer <= 90), buffer + np.uint8(32), buffer).astype(np.uint8)
+
+
+def span_words(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = SHORT_SPAN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The spans' bytes as 64-bit words, ``most`` bytes of each at the most: (spans that reach so far, their next word)."""
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray(len(buffer) + 1, "<u8", padded.data, strides=(1,))
+    alive = np.flatnonzero(ends > starts)
+    for step in range(0, most, 8):
+        alive = alive[ends[alive] - starts[alive] > step]
+        if not len(alive):
+            return
+        left = np.minimum(ends[alive] - starts[alive] - step, 8).astype(np.uint64)
+        yield alive, at_byte[starts[alive] + step] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+
+
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand.
+
+    Short spans are mixed word by word, which is no polynomial; longer ones get a BLAKE2 digest.
+    """
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) * _M2 + _BASE)
+    for at, word in span_words(buffer, starts, ends):
+        out[at] = mix((out[at] ^ word) * _BASE)
+    for i in np.flatnonzero(lengths > SHORT_SPAN).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(buffer[starts[i] : ends[i]].data, digest_size=8).digest(), np.uint64)[0]
+    return out
+
+
+def gram_hashes(buffer: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the ``size`` bytes (a multiple of 8) that start at each position."""
+    count = len(buffer) - size + 1
+    at_byte = np.ndarray(len(buffer) - 7, "<u8", np.ascontiguousarray(buffer).data, strides=(1,))
+    out = np.full(count, _BASE, np.uint64)
+    for step in range(0, size, 8):
+        out ^= at_byte[step : step + count]
+        out *= _M1
+        out ^= out >> _S33
+    return out * _M2
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -8,17 +8,26 @@ truncated to 16 bits, so registers of a union are the larger of both and equal r
 similar sets. Bands of ``BAND`` registers give buckets; at similarity 0.85 a pair misses all of them
 with probability 5e-7 (at 0.8: 5e-5).
 
-Buckets are never expanded to all pairs. First each class meets its bucket's hub only: the class that
-shares buckets with most others (over all bands), as the text does from which a group of copies was
-edited; copies of it may be farther from each other than from it.
-Links found so far give components; then, in buckets that still hold several components, classes
-outside the component of the bucket's hub meet the members of other components of a size that can
-reach the limit: pairs inside one component can't change anything. Candidates go on if the similarity that maximises the
-joint likelihood of greater, smaller and equal registers is within five deviations of the limit, and
-are confirmed on the full sets. Components come from label propagation with pointer jumping.
+Buckets are never expanded to all pairs. In rounds, each class of a bucket meets the bucket's hub alone:
+the class that shares buckets with most others, as the text does from which a group of copies was edited.
+Links found so far give components; the classes outside the hub's component form the bucket's rest and
+get a hub of their own in the next round, while a round still takes in an eighth of them or more.
+
+What is left is decided by differences. If D(x) holds the shingles in which x and the hub differ, x and
+y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles; for a link with an x that isn't linked to the hub,
+D(x) and D(y) must share some, and how many follows from sizes. So among the members of a hub, sorted from the
+rarest difference to the commonest, x and y must have equal ones within known prefixes: an equi-join on these,
+filtered by position and size, gives all such links and hardly any other pair. The join is made between
+the rest and the hub's component in each round, and inside the rest of the last round; pairs in one component can't
+change anything.
+
+Candidates go on if the similarity that maximises the joint likelihood of greater, smaller and equal
+registers is within five deviations of the limit, and are confirmed on the full sets. Components come
+from label propagation with pointer jumping.
 
 A null text counts as empty. Rows with a null id link with nothing. Repeated rows each get their
-id's result. Sets hold 64-bit hashes of shingles.
+id's result. Sets hold 64-bit hashes of shingles. Texts are taken whole, however long; among equal sets the
+smallest id stands for the class. An empty table gives no rows; columns other than the id are dropped.
 """
 
 from __future__ import annotations
@@ -31,10 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hashes, row_chunks, shared_checkpoint, span_hashes, text_view, word_spans
+from .common import lowered, mix, row_chunks, shared_checkpoint, span_hashes, text_view, word_spans
 
 REGISTERS, BAND = 125, 5
 BASE, LARGEST = 1.001, 65534
+#: Rows of one bucket that a task should meet at the most, about.
+SALT_ROWS = 20_000
 #: Hash products computed at once for the registers.
 BLOCK = 1 << 16
 
@@ -43,7 +54,7 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row."""
     data, at = text_view(column)
     starts, ends, rows = word_spans(data, at)
-    words = span_hashes(prefix_hashes(data, lower=True), starts, ends)
+    words = span_hashes(lowered(data), starts, ends)
     first = np.searchsorted(rows, np.arange(len(column) + 1))
     rolled = np.zeros(max(len(words) - size + 1, 0), np.uint64)
     for k in range(size):
@@ -128,9 +139,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_column: str, text: str, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) confirmed on full sets."""
-    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "set_key")
+def _sets(needed: DataFrame, docs: DataFrame, classes: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
+    """The full sets (k, e) of the needed classes (set_key), one row each, made again from the texts."""
     rows = classes.join(needed, "set_key", "left_semi").select(F.col("id").alias("__rep"))
     texts = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("t")).join(rows.distinct(), F.col("__id") == F.col("__rep"), "left_semi").select("t")
 
@@ -143,11 +153,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_column:
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["k", "e"])
 
-    sets = shared_checkpoint(texts.mapInArrow(run, "k binary, e array<long>").dropDuplicates(["k"]))
+    return shared_checkpoint(texts.mapInArrow(run, "k binary, e array<long>").dropDuplicates(["k"]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that reach the limit on full sets."""
     side = lambda x: sets.select(F.col("k").alias(x), F.col("e").alias(f"e{x}"))
     shared = F.size(F.array_intersect("ea", "eb"))
-    confirmed = 100 * shared.cast("long") >= percent * (F.size("ea") + F.size("eb") - shared)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(confirmed).select("a", "b")
+    enough = 100 * shared.cast("long") >= percent * (F.size("ea") + F.size("eb") - shared)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -166,6 +180,63 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
+def _by_band(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows (band, n, set_key, ...) with the one row of their band; a band of many rows is dealt to several tasks."""
+    parts = rows.groupBy("band").agg((F.max("n") / SALT_ROWS).cast("int").alias("__parts")).where("__parts > 0")
+    dealt = own.join(parts, "band", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(0))))).drop("__parts")
+    salt = F.pmod(F.xxhash64("set_key"), 1 + (F.col("n") / SALT_ROWS).cast("int")).cast("int")
+    return rows.withColumn("__salt", salt).join(dealt, ["band", "__salt"]).drop("__salt")
+
+
+def _outside(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members that aren't in the component of their band's hub: band, set_key, size, partners."""
+    main = members.select("band", "hub").distinct().join(labels.select(F.col("node").alias("hub"), F.col("label").alias("main")), "hub").select("band", "main")
+    mine = members.join(labels.select(F.col("node").alias("set_key"), F.col("label").alias("mine")), "set_key")
+    return _by_band(mine, main).where("mine <> main").select("band", "set_key", "size", "partners")
+
+
+def _by_differences(rounds: list[DataFrame], labels: DataFrame, everyone: tuple, percent: int) -> tuple[DataFrame, DataFrame] | None:
+    """Candidates (a, b) in different components among members of one hub, and the sets of those members; None where there are none."""
+    group = ["level", "hub"]
+    of = lambda x, name: labels.select(F.col("node").alias(x), F.col("label").alias(name))
+    rows = None
+    for level, members in enumerate(rounds):
+        own = members.select(F.lit(level).alias("level"), "hub", "set_key", F.col("size").alias("nx")).distinct()
+        rows = own if rows is None else rows.union(own)
+    rows = rows.join(of("set_key", "mine"), "set_key").join(of("hub", "main"), "hub")
+    rows = shared_checkpoint(rows.select(*group, "set_key", "nx", "mine", (F.col("mine") == F.col("main")).alias("inside"), (F.col("level") == len(rounds) - 1).alias("last")))
+    # A hub's members need looking at if one of them is outside and has another one than the hub to meet.
+    outside = F.sum(F.when(~F.col("inside"), 1).otherwise(0))
+    counts = rows.groupBy(*group).agg(outside.alias("o"), F.count("*").alias("n"), F.first("last").alias("final"))
+    open_ = counts.where("o > 0 and n > 2 and (final or n - o > 1)").select(*group)
+    rows = shared_checkpoint(rows.join(open_, group, "left_semi"))
+    if rows.isEmpty():
+        return None
+    needed = rows.select("set_key").union(rows.select("hub")).distinct()
+    sets = _sets(needed, *everyone)
+    both = rows.where("set_key <> hub").join(sets.select(F.col("k").alias("set_key"), F.col("e").alias("ex")), "set_key").join(sets.select(F.col("k").alias("hub"), F.col("e").alias("eh")), "hub")
+    facts = F.struct("nx", F.size("eh").alias("nh"), "mine", "inside", "last")
+    differences = F.concat(F.array_except("ex", "eh"), F.array_except("eh", "ex"))
+    single = both.select(*group, "set_key", facts.alias("facts"), differences.alias("d")).select(*group, "set_key", "facts", F.size("d").alias("nd"), F.explode("d").alias("e"))
+    single = shared_checkpoint(single)
+    # Differences of one member alone come first in its order and can't be equal to another's; only their number counts.
+    common = single.groupBy(*group, "e").agg(F.count("*").alias("often")).where("often > 1")
+    ordered = single.join(common, [*group, "e"]).groupBy(*group, "set_key").agg(F.first("facts").alias("f"), F.first("nd").alias("nd"), F.sort_array(F.collect_list(F.struct("often", "e"))).alias("s"))
+    places = ordered.select(*group, "set_key", "f.*", "nd", F.size("s").alias("ns"), F.posexplode("s").alias("at", "x")).select(*group, "set_key", "nx", "nh", "mine", "inside", "last", "nd", F.col("x.e").alias("e"), (F.col("nd") - F.col("ns") + F.col("at")).alias("at"))
+    # The most shingles in which a link may differ, for the largest partner that x can have; and x's prefix against members that the hub's limit leaves outside.
+    most = f"floor((100 - {percent}) * (nx + floor(100 * nx / {percent})) / (100 + {percent}))"
+    places = places.where(f"at <= {most}").withColumn("half", F.expr(f"2 * {100 + percent} * at <= {100 + percent} * nd + {100 - percent} * (nx - nh)"))
+    places = shared_checkpoint(places.where("half or not inside"))
+    x = places.where("not inside").select(*group, "e", *(F.col(c).alias(f"x_{c}") for c in ("set_key", "nx", "mine", "nd", "at")))
+    y = places.where("half and (inside or last)").select(*group, "e", *(F.col(c).alias(f"y_{c}") for c in ("set_key", "nx", "mine", "nd", "at", "inside")))
+    fits = F.expr(f"x_mine <> y_mine and (y_inside or x_set_key < y_set_key) and 100 * least(x_nx, y_nx) >= {percent} * greatest(x_nx, y_nx)")
+    # Shingles that the differences of a link must share.
+    share = f"((x_nd + y_nd - floor({100 - percent} * (x_nx + y_nx) / {100 + percent}) + 1) div 2)"
+    near = F.expr(f"x_at <= x_nd - {share} and y_at <= y_nd - {share}")
+    found = x.join(y, [*group, "e"]).where(fits & near)
+    return shared_checkpoint(found.select(F.least("x_set_key", "y_set_key").alias("a"), F.greatest("x_set_key", "y_set_key").alias("b")).distinct()), sets
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: id, n_shingles, component_id (smallest id reachable), kept (id is its component)."""
     base = shared_checkpoint(sketches(docs, id_column, text, size))
@@ -176,29 +247,37 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     counted = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = shared_checkpoint(entries.join(counted, "band"))
     partners = shared.groupBy("set_key").agg(F.sum("n").alias("partners"))
-    hubs_of = shared.join(partners, "set_key").groupBy("band").agg(F.max(F.struct("partners", "set_key")).alias("best")).select("band", F.col("best.set_key").alias("hub"))
-    members = shared_checkpoint(shared.join(hubs_of, "band").select("band", "hub", "set_key", "size"))
+    rest = shared_checkpoint(shared.join(partners, "set_key").select("band", "n", "set_key", "size", "partners"))
     least = percent / 100
+    everyone = (docs, classes, id_column, text, size)
+
+    links, met, rounds = None, None, []
+    while True:
+        best = rest.groupBy("band").agg(F.max(F.struct("partners", "set_key")).alias("best")).select("band", F.col("best.set_key").alias("hub"))
+        members = shared_checkpoint(_by_band(rest, best).select("band", "n", "hub", "set_key", "size", "partners"))
+        rounds.append(members)
+        star = members.where("hub <> set_key").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct()
+        star = shared_checkpoint(star if met is None else star.join(met, (F.least("a", "b") == met["x"]) & (F.greatest("a", "b") == met["y"]), "left_anti"))
+        pairs = star.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        met = pairs if met is None else met.union(pairs)
+        likely = shared_checkpoint(_likely(star, classes, least))
+        needed = likely.select(F.col("a").alias("set_key")).union(likely.select("b")).distinct()
+        own = shared_checkpoint(_confirmed(likely, _sets(needed, *everyone), percent))
+        links = own if links is None else links.union(own)
+        labels = shared_checkpoint(components(shared.select(F.col("set_key").alias("node")).distinct(), links))
+        rest = _outside(members, labels)
+        rest = shared_checkpoint(rest.join(rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
+        left = rest.select("set_key").distinct().count()
+        if not left or 8 * own.count() < left:
+            break
 
-    star = members.where("hub <> set_key").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct()
-    met = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = shared_checkpoint(_verified(shared_checkpoint(_likely(star, classes, least)), docs, classes, id_column, text, size, percent))
-    nodes = members.select(F.col("set_key").alias("node")).distinct()
-    labels = components(nodes, links)
-    own = labels.select(F.col("node").alias("set_key"), F.col("label").alias("mine"))
-    hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("main"))
-    labelled = members.join(own, "set_key").join(hubs, "hub").select("band", "set_key", "size", "mine", "main")
-    split = labelled.where("mine <> main").select("band").distinct()
-    open_ = shared_checkpoint(labelled.join(split, "band", "left_semi"))
-    out = open_.where("mine <> main").select("band", F.col("set_key").alias("x"), F.col("size").alias("nx"), F.col("mine").alias("mx"))
-    rest = open_.select("band", F.col("set_key").alias("y"), F.col("size").alias("ny"), F.col("mine").alias("my"), (F.col("mine") == F.col("main")).alias("inside"))
-    pairs = out.join(rest, "band").where(f"mx <> my and (inside or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    cross = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-    more = _verified(shared_checkpoint(_likely(cross, classes, least)), docs, classes, id_column, text, size, percent)
+    cross = _by_differences(rounds, labels, everyone, percent)
+    if cross is not None:
+        pairs, sets = cross
+        links = links.union(_confirmed(shared_checkpoint(_likely(pairs, classes, least)), sets, percent))
     ids = classes.select("set_key", "id")
-    linked = links.union(more)
     to_id = lambda x: ids.select(F.col("set_key").alias(x), F.col("id").alias(f"i{x}"))
-    by_id = linked.join(to_id("a"), "a").join(to_id("b"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    by_id = links.join(to_id("a"), "a").join(to_id("b"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     final = components(classes.select(F.col("id").alias("node")).distinct(), by_id)
     reached = ids.join(final.withColumnRenamed("node", "id"), "id").select("set_key", "label")
     result = base.join(reached, "set_key", "left").select("id", "n_shingles", F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("label", "id")).alias("component_id"))

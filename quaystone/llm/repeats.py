@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, powers, prefix_hashes, ragged, row_chunks, span_hashes, text_view, with_copy_number
+from .common import gram_hashes, mix, ragged, row_chunks, text_view, with_copy_number
 
 WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM  # bytes of a window that may stand before its anchor
@@ -53,7 +53,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none, none
     places = np.arange(len(data) - GRAM + 1)
-    hashes = span_hashes(prefix_hashes(data), places, places + GRAM)
+    hashes = gram_hashes(data, GRAM)
     least = (hashes & np.uint64(0xFFFFFFFF00000000)) | places.astype(np.uint64)
     span = 1
     while span * 2 <= REACH + 1:
@@ -197,14 +197,14 @@ def _window_spans(strings: np.ndarray, records: np.ndarray) -> np.ndarray:
     order = np.lexsort((records["at"], records["copy"], records["doc"]))
     strings, records = strings[order], records[order]
     text = np.concatenate([strings[:, : WINDOW - 1 : -1], strings[:, :WINDOW]], axis=1)
-    up, down = powers(SUFFIX)
-    from .common import byte_values
-
-    sums = np.zeros((len(text), SUFFIX + 1), np.uint64)
-    np.cumsum(byte_values(False)[text] * up[:SUFFIX], axis=1, out=sums[:, 1:])
     offsets = np.arange(REACH + 1)
     begins = REACH - offsets
-    hashes = mix((sums[:, begins + WINDOW] - sums[:, begins]) * down[begins] + offsets.astype(np.uint64))
+    # The hash of a window from those of its first, middle and last bytes; WINDOW is no more than two halves and a rest.
+    grams = gram_hashes(np.ascontiguousarray(text).reshape(-1), GRAM)
+    at = np.arange(len(text))[:, None] * SUFFIX + begins
+    hashes = offsets.astype(np.uint64) + np.uint64(1)
+    for step in (*range(0, WINDOW - GRAM, GRAM), WINDOW - GRAM):
+        hashes = mix(hashes ^ grams[at + step])
     valid = (offsets >= records["low"][:, None]) & (offsets <= records["high"][:, None])
     flat = np.flatnonzero(valid)
     _, first = np.unique(hashes.reshape(-1)[flat], return_index=True)
