@@ -23,10 +23,10 @@ change anything.
 
 Candidates go on if the similarity that maximises the joint likelihood of greater, smaller and equal
 registers is within five deviations of the limit, and are confirmed on the full sets. Components come
-from label propagation with pointer jumping.
+from large and small stars in turn.
 
-A null text counts as empty. Rows with a null id link with nothing. Repeated rows each get their
-id's result. Sets hold 64-bit hashes of shingles. Texts are taken whole, however long; among equal sets the
+A null text counts as empty. Rows with a null id link with nothing. Repeated rows each get the
+result of their text, also where an id has several. Sets hold 64-bit hashes of shingles. Texts are taken whole, however long; among equal sets the
 smallest id stands for the class. An empty table gives no rows; columns other than the id are dropped.
 """
 
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, mix, row_chunks, shared_checkpoint, span_hashes, text_view, word_spans
+from .common import free_shuffles, lowered, mix, row_chunks, shared_checkpoint, span_hashes, text_view, word_spans
 
 REGISTERS, BAND = 125, 5
 BASE, LARGEST = 1.001, 65534
@@ -142,7 +142,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 def _sets(needed: DataFrame, docs: DataFrame, classes: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
     """The full sets (k, e) of the needed classes (set_key), one row each, made again from the texts."""
     rows = classes.join(needed, "set_key", "left_semi").select(F.col("id").alias("__rep"))
-    texts = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("t")).join(rows.distinct(), F.col("__id") == F.col("__rep"), "left_semi").select("t")
+    texts = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("t")).join(rows, F.col("__id") == F.col("__rep"), "left_semi").select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,46 +164,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, label: the smallest node reachable by links (a, b); nodes without links are their own label."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = shared_checkpoint(both)
-    labels = shared_checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of every linked node but the smallest of its component, which is the label.
+
+    Large stars and small stars in turn: every node's greater neighbours, then its smaller ones, are linked to the
+    smallest of them, until nothing moves. No step has more edges than the one before it, and minima are
+    taken before the shuffle, so a hub with very many links is no burden.
+    """
+    edges = shared_checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        hop = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        new = shared_checkpoint(hop.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
-        if new.where("old <> label").isEmpty():
-            break
-        labels = new.select("node", "label")
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("moved") | (F.col("v") != F.col("m"))).alias("moved"))
+        edges = shared_checkpoint(small)
+        if edges.where("moved").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).distinct()
 
 
 def _by_band(rows: DataFrame, own: DataFrame) -> DataFrame:
-    """Rows (band, n, set_key, ...) with the one row of their band; a band of many rows is dealt to several tasks."""
-    parts = rows.groupBy("band").agg((F.max("n") / SALT_ROWS).cast("int").alias("__parts")).where("__parts > 0")
-    dealt = own.join(parts, "band", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(0))))).drop("__parts")
+    """Rows (band, n, set_key, ...) with the one row (band, size of the band, ...) of their band; a band of many rows is dealt to several tasks."""
+    parts = F.sequence(F.lit(0), (F.col("band_rows") / SALT_ROWS).cast("int"))
+    dealt = own.withColumn("__salt", F.explode(parts)).drop("band_rows")
     salt = F.pmod(F.xxhash64("set_key"), 1 + (F.col("n") / SALT_ROWS).cast("int")).cast("int")
     return rows.withColumn("__salt", salt).join(dealt, ["band", "__salt"]).drop("__salt")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """Add a node's label, which is itself where it has no link."""
+    own = labels.select(F.col("node").alias(node), F.col("label").alias(name))
+    return rows.join(own, node, "left").withColumn(name, F.coalesce(name, node))
+
+
 def _outside(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members that aren't in the component of their band's hub: band, set_key, size, partners."""
-    main = members.select("band", "hub").distinct().join(labels.select(F.col("node").alias("hub"), F.col("label").alias("main")), "hub").select("band", "main")
-    mine = members.join(labels.select(F.col("node").alias("set_key"), F.col("label").alias("mine")), "set_key")
-    return _by_band(mine, main).where("mine <> main").select("band", "set_key", "size", "partners")
+    """Members outside the component of their band's hub, in bands that have several of them: band, n, set_key, size, partners."""
+    hubs = members.groupBy("band").agg(F.first("hub").alias("hub"), F.max("n").alias("band_rows"))
+    main = _labelled(hubs, labels, "hub", "main").select("band", "band_rows", "main")
+    rest = _by_band(_labelled(members, labels, "set_key", "mine"), main).where("mine <> main").select("band", "set_key", "size", "partners")
+    counts = rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    return rest.join(counts, "band").select("band", "n", "set_key", "size", "partners")
 
 
 def _by_differences(rounds: list[DataFrame], labels: DataFrame, everyone: tuple, percent: int) -> tuple[DataFrame, DataFrame] | None:
     """Candidates (a, b) in different components among members of one hub, and the sets of those members; None where there are none."""
     group = ["level", "hub"]
-    of = lambda x, name: labels.select(F.col("node").alias(x), F.col("label").alias(name))
     rows = None
     for level, members in enumerate(rounds):
         own = members.select(F.lit(level).alias("level"), "hub", "set_key", F.col("size").alias("nx")).distinct()
         rows = own if rows is None else rows.union(own)
-    rows = rows.join(of("set_key", "mine"), "set_key").join(of("hub", "main"), "hub")
+    # A hub's label is looked up once a hub, not once a member.
+    hubs = _labelled(rows.select(*group).distinct(), labels, "hub", "main")
+    rows = _labelled(rows, labels, "set_key", "mine").join(hubs, group)
     rows = shared_checkpoint(rows.select(*group, "set_key", "nx", "mine", (F.col("mine") == F.col("main")).alias("inside"), (F.col("level") == len(rounds) - 1).alias("last")))
     # A hub's members need looking at if one of them is outside and has another one than the hub to meet.
     outside = F.sum(F.when(~F.col("inside"), 1).otherwise(0))
@@ -212,7 +224,7 @@ def _by_differences(rounds: list[DataFrame], labels: DataFrame, everyone: tuple,
     rows = shared_checkpoint(rows.join(open_, group, "left_semi"))
     if rows.isEmpty():
         return None
-    needed = rows.select("set_key").union(rows.select("hub")).distinct()
+    needed = rows.select("set_key").union(rows.select("hub"))
     sets = _sets(needed, *everyone)
     both = rows.where("set_key <> hub").join(sets.select(F.col("k").alias("set_key"), F.col("e").alias("ex")), "set_key").join(sets.select(F.col("k").alias("hub"), F.col("e").alias("eh")), "hub")
     facts = F.struct("nx", F.size("eh").alias("nh"), "mine", "inside", "last")
@@ -239,6 +251,7 @@ def _by_differences(rounds: list[DataFrame], labels: DataFrame, everyone: tuple,
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: id, n_shingles, component_id (smallest id reachable), kept (id is its component)."""
+    spark = docs.sparkSession
     base = shared_checkpoint(sketches(docs, id_column, text, size))
     some = base.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
     classes = shared_checkpoint(some.groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
@@ -247,38 +260,35 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     counted = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = shared_checkpoint(entries.join(counted, "band"))
     partners = shared.groupBy("set_key").agg(F.sum("n").alias("partners"))
-    rest = shared_checkpoint(shared.join(partners, "set_key").select("band", "n", "set_key", "size", "partners"))
+    rest = shared.join(partners, "set_key").select("band", "n", "set_key", "size", "partners")
     least = percent / 100
     everyone = (docs, classes, id_column, text, size)
 
-    links, met, rounds = None, None, []
+    labels, rounds = None, []
     while True:
-        best = rest.groupBy("band").agg(F.max(F.struct("partners", "set_key")).alias("best")).select("band", F.col("best.set_key").alias("hub"))
+        best = rest.groupBy("band").agg(F.max(F.struct("partners", "set_key")).alias("best"), F.max("n").alias("band_rows")).select("band", "band_rows", F.col("best.set_key").alias("hub"))
         members = shared_checkpoint(_by_band(rest, best).select("band", "n", "hub", "set_key", "size", "partners"))
         rounds.append(members)
         star = members.where("hub <> set_key").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct()
-        star = shared_checkpoint(star if met is None else star.join(met, (F.least("a", "b") == met["x"]) & (F.greatest("a", "b") == met["y"]), "left_anti"))
-        pairs = star.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        met = pairs if met is None else met.union(pairs)
         likely = shared_checkpoint(_likely(star, classes, least))
-        needed = likely.select(F.col("a").alias("set_key")).union(likely.select("b")).distinct()
-        own = shared_checkpoint(_confirmed(likely, _sets(needed, *everyone), percent))
-        links = own if links is None else links.union(own)
-        labels = shared_checkpoint(components(shared.select(F.col("set_key").alias("node")).distinct(), links))
-        rest = _outside(members, labels)
-        rest = shared_checkpoint(rest.join(rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
+        needed = likely.select(F.col("a").alias("set_key")).union(likely.select("b"))
+        links = shared_checkpoint(_confirmed(likely, _sets(needed, *everyone), percent))
+        known = links if labels is None else links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = shared_checkpoint(components(known))
+        rest = shared_checkpoint(_outside(members, labels))
+        free_shuffles(spark)
         left = rest.select("set_key").distinct().count()
-        if not left or 8 * own.count() < left:
+        if not left or 8 * links.count() < left:
             break
 
     cross = _by_differences(rounds, labels, everyone, percent)
     if cross is not None:
         pairs, sets = cross
-        links = links.union(_confirmed(shared_checkpoint(_likely(pairs, classes, least)), sets, percent))
-    ids = classes.select("set_key", "id")
-    to_id = lambda x: ids.select(F.col("set_key").alias(x), F.col("id").alias(f"i{x}"))
-    by_id = links.join(to_id("a"), "a").join(to_id("b"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    final = components(classes.select(F.col("id").alias("node")).distinct(), by_id)
-    reached = ids.join(final.withColumnRenamed("node", "id"), "id").select("set_key", "label")
-    result = base.join(reached, "set_key", "left").select("id", "n_shingles", F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("label", "id")).alias("component_id"))
+        links = _confirmed(shared_checkpoint(_likely(pairs, classes, least)), sets, percent)
+        labels = components(links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    # The smallest id of each component with several classes; only these are few.
+    linked = shared_checkpoint(labels.union(labels.select("label", "label")).distinct().join(classes.select(F.col("set_key").alias("node"), "id"), "node"))
+    least_ids = linked.groupBy("label").agg(F.min("id").alias("component_id"))
+    reached = classes.select("set_key", "id").join(linked.join(least_ids, "label").select(F.col("node").alias("set_key"), "component_id"), "set_key", "left").select("set_key", F.coalesce("component_id", "id").alias("component_id"))
+    result = base.join(reached, "set_key", "left").select("id", "n_shingles", F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component_id", "id")).alias("component_id"))
     return result.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
