@@ -334,8 +334,8 @@ def default_path() -> str:
 
 
 def _schema(df: DataFrame, fields: list[T.StructField]) -> tuple[list[str], T.StructType]:
-    names = {f.name for f in fields}
-    kept = [f for f in df.schema.fields if f.name not in names]
+    names = {f.name.lower() for f in fields}
+    kept = [f for f in df.schema.fields if f.name.lower() not in names]
     return [f.name for f in kept], T.StructType([*kept, *fields])
 
 

@@ -14,8 +14,10 @@ Two fingerprints within ``RADIUS`` bits agree in one of RADIUS + 1 blocks at lea
 on (length, block, bits) finds every pair within the radius; a pair is kept at its first equal block
 alone, and its exact similarity is then computed from the words.
 
-Nulls: a null text or item counts as empty and matches nothing. Repeated rows each get the result of
-their id; an empty benchmark leaves every document clean; other columns pass through ``mark``.
+Nulls: a null text or item counts as empty and matches nothing; a null id is an id like others. Repeated rows
+each get the result of their id; an empty benchmark leaves every document clean, an empty table gives no
+rows. Long texts are taken whole; a similarity equal to the limit counts. Other columns pass through
+``mark``, and those named like an output (in any case of letters) are replaced.
 """
 
 from __future__ import annotations
@@ -149,9 +151,11 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text:
     bit = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
     grid = [0] * size
     probes = hashed.select(F.explode(F.array("h", F.xxhash64("h", F.lit(1)))).alias("h"))
-    for row in probes.select(slot(F.col("h")).alias("s"), bit(F.col("h")).alias("b")).distinct().collect():  # the benchmark's, bounded by BITMAP_LOAD * size
-        grid[row["s"]] |= 1 << row["b"]
-    literal = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in grid)
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col("h")))
+    # The bits of a word are joined before they come here: one row a word, MOST_BITMAP_WORDS at most.
+    for row in probes.groupBy(slot(F.col("h")).cast("int").alias("s")).agg(F.bit_or(one).alias("w")).toLocalIterator():
+        grid[row["s"]] = row["w"]
+    literal = ",".join(map(str, grid))
     bitmap = F.split(F.lit(literal), ",").cast("array<bigint>")
     probe = lambda h: F.getbit(F.get(bitmap, slot(h).cast("int")), bit(h)) == 1
     marked = lambda h: probe(h) & probe(F.xxhash64(h, F.lit(1)))
@@ -188,7 +192,7 @@ def mark(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str
     """Add contaminated, n_items, items (sorted ids) and similarity (the best; null if clean) to every row."""
     found = matches(docs, items, id_column, text, item_id, item_text)
     by_id = found.groupBy(F.col(id_column).alias("__id")).agg(F.sort_array(F.collect_list("__item")).alias("items"), F.max("similarity").alias("similarity"))
-    kept = docs.drop(*(c for c in ("contaminated", "n_items", "items", "similarity") if c in docs.columns))
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("contaminated", "n_items", "items", "similarity")))
     out = kept.join(by_id, kept[id_column].eqNullSafe(by_id["__id"]), "left").drop("__id")
     none = F.array().cast(dict(by_id.dtypes)["items"])
     return out.withColumns({"contaminated": F.col("items").isNotNull(), "n_items": F.coalesce(F.size("items"), F.lit(0)).cast("long"), "items": F.coalesce("items", none)})

@@ -69,7 +69,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality_rules(docs, bands=quality.fit_bands(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_shards, op4_secrets, op5_repeats, op6_toxicity, op7_chat, op8_quality, op9_decontaminate, op10_near_dups)}

@@ -40,6 +40,8 @@ WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM  # bytes of a window that may stand before its anchor
 SUFFIX = WINDOW + REACH
 OUTSIDE = 0xFF  # stands for bytes beyond a document's ends; never in UTF-8
+#: Bytes of text for each range of grams.
+RANGE_BYTES = 16 << 20
 #: Members whose windows are hashed at once.
 MEMBERS = 20_000
 _RECORD = np.dtype([("doc", "<i8"), ("copy", "<i4"), ("at", "<i8"), ("low", "u1"), ("high", "u1"), ("shared", "u1")])
@@ -324,7 +326,10 @@ def removed_spans(docs: DataFrame, parts: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """One row a document: id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (of the remaining bytes)."""
-    parts = parts or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if parts is None:
+        # As many ranges of grams as the texts need, so that one task's runs stay bounded.
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+        parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
     base = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     numbered = with_copy_number(base.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))), "doc", "t", "copy")
     spans = removed_spans(numbered.select("id", "doc", "copy", "t"), parts)

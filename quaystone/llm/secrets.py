@@ -11,8 +11,9 @@ chains are trained from labelled samples: random strings drawn from digests in f
 at most ``SAMPLE_DOCS`` documents). A token that overlaps a base span is not added.
 
 Offsets are code points, ends exclusive. A null text counts as empty and has no spans. Rows keep
-their number, other columns pass through; an output replaces a column of its name. An empty table
-trains on the random strings alone and gives no rows.
+their number, repeated rows too; other columns pass through, whatever their names, and an output replaces
+a column of its name in any case of letters. Long texts are scanned whole; of spans that start together the
+lower rank comes first. An empty table trains on the random strings alone and gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ HEX = "[0-9a-f]{32,}+"
 TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+"
 KINDS = ("assign", "access", "hex", "random")
 #: Documents in the sample of ordinary identifiers, random strings of each alphabet.
-SAMPLE_DOCS, SAMPLE_STRINGS = 300, 1000
+SAMPLE_DOCS, SAMPLE_STRINGS = 3000, 1000
 #: Natural logarithm of the odds that a token must reach, in all and for each transition.
 LEAST_ODDS, LEAST_MEAN = 9.0, 0.45
 SPAN = "array<struct<start:bigint,end:bigint,rank:int>>"
@@ -112,7 +113,10 @@ def _odds(token: Column, ratios: list[float]) -> Column:
 def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id", ratios: list[float] | None = None, spans: str = "spans") -> DataFrame:
     """Add ``spans``: array of (start, end, rank), rank an index into KINDS, by start, then rank."""
     ratios = ratios if ratios is not None else train(docs, text, id_column)
-    body = F.coalesce(F.col(text), F.lit(""))
+    # The caller's columns travel as one, so that their names can't clash with those used here.
+    kept = [c for c in docs.columns if c.lower() != spans.lower()]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    body = F.col("__text")
     # Plain substring tests spare most texts the longer patterns.
     lower = F.lower(body)
     named = F.lit(False)
@@ -122,11 +126,11 @@ def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id", ratios:
     base = F.concat(F.when(named, _matches(body, ASSIGN, 0, 8)).otherwise(none), F.when(F.contains(body, F.lit("AKIA")), _matches(body, ACCESS, 1)).otherwise(none), _matches(body, HEX, 2))
     token = TOKEN % _least_length(ratios)
     words = F.filter(F.array_distinct(F.regexp_extract_all(body, F.lit(token), F.lit(0))), lambda t: _is_random(t, ratios))
-    out = fixed(fixed(docs, __base=base, __words=words), __tokens=_matches(body, token, 3, among=F.col("__words")))
+    out = fixed(fixed(rows, __base=base, __words=words), __tokens=_matches(body, token, 3, among=F.col("__words")))
     free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     added = F.filter("__tokens", free)
     found = F.array_sort(F.concat("__base", added), lambda a, b: F.signum((a["start"] - b["start"]) * 8 + (a["rank"] - b["rank"])).cast("int"))
-    return fixed(out, **{spans: found}).drop("__base", "__words", "__tokens")
+    return fixed(out, __found=found).select(*(F.col(f"__row.`{c}`") for c in kept), F.col("__found").alias(spans))
 
 
 def _least_length(ratios: list[float]) -> int:

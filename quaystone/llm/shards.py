@@ -7,11 +7,11 @@ the ranges, so each row's exact offset in the whole order is known after sorting
 a shard is the 1/shards part of all bytes in which the middle of the row lies.
 
 Law ``bytes``: a shard differs from the mean by no more than the rows (or groups) at its two edges.
-Equal texts stay in one shard where the group is under 1/32 of a shard; a larger group is cut by
+Equal texts stay in one shard, unless the group is larger than a shard: then it is cut by
 rows, which keeps sizes near equal when one text holds a third of all rows. Nulls: a null text
 counts as no bytes and sorts as the empty text; null ids sort first. Repeated rows get slots of
-their own. An empty table gives no rows. Other columns pass through; outputs replace columns of the
-same name.
+their own, ties in order of the id. A long text counts whole. An empty table gives no rows. Other columns
+pass through, whatever their names; outputs replace columns of the same name in any case of letters.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes counted for a row besides its text.
 ROW_BYTES = 16
-#: A group of equal texts under 1 / GROUP_PART of a shard is never cut.
-GROUP_PART = 32
+#: A group of equal texts of up to 1 / GROUP_PART of a shard is never cut.
+GROUP_PART = 1
 #: Samples drawn for each range.
 SAMPLES = 24
 #: Rows a range should hold, and the bounds on the number of ranges, and so of broadcast splitters.
@@ -30,9 +30,9 @@ RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 200_000, 160, 20_000
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add size, text_crc32 and the order's key from the text."""
+    """Replace the text by size, text_crc32 and the order's key."""
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    return df.withColumns({"size": F.length(body).cast("long") + ROW_BYTES, "text_crc32": F.crc32(body), "__key": F.md5(body)})
+    return df.select("*", (F.length(body).cast("long") + ROW_BYTES).alias("size"), F.crc32(body).alias("text_crc32"), F.md5(body).alias("__key")).drop(text)
 
 
 def splitters(df: DataFrame, totals, ranges: int) -> list[tuple[str, int | None]]:
@@ -57,8 +57,10 @@ def splitters(df: DataFrame, totals, ranges: int) -> list[tuple[str, int | None]
 def shard_by_bytes(df: DataFrame, shards: int = 40, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Replace the text by size, text_crc32, law, shard, slot (gapless from 0) and grown_shard (null under this law)."""
     outputs = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    base = measured(df.drop(*(c for c in outputs if c in df.columns)), text).drop(text)
-    base = base.withColumn("__id", F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))))
+    # The caller's columns travel as one, so that their names can't clash with those used here.
+    kept = [c for c in df.columns if c.lower() not in outputs and c != text]
+    own = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(None)
+    base = measured(df.select(own.alias("__row"), F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("__id"), F.col(text).alias("__text")), "__text")
     totals = base.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     ranges = min(MOST_RANGES, max(LEAST_RANGES, 4 * shards, totals["rows"] // RANGE_ROWS))
     marks = splitters(base, totals, ranges) if totals["rows"] else []
@@ -92,5 +94,4 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, id_column: str = "doc_id", t
     placed = placed.withColumns({"shard": shard, "__rank": F.col("__rank") + F.col("__rows_before")})
     counts = placed.groupBy("shard").agg(F.min("__rank").alias("__first"))  # one row a shard
     out = placed.join(F.broadcast(counts), "shard").withColumns({"slot": F.col("__rank") - F.col("__first"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
-    kept = [c for c in df.columns if c not in outputs and c != text]
-    return out.select(*kept, *outputs)
+    return out.select(*(F.col(f"__row.`{c}`") for c in kept), *outputs)
