@@ -3,6 +3,8 @@
 Every stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the
 columns of documents; the last one returns ids. Null and empty texts pass every filter (they hold
 nothing to reject); rows with a null id stay. A benchmark or label table without rows rejects nothing.
+Decisions on an id hold for all its rows: rows equal in id and text stay or go together. Columns beside
+those named pass through every stage but the last.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.llm import byte_bpe, decontaminate, near_dups, secrets, toxicity
+from quaystone.llm.common import shared_checkpoint
 
 #: Least score at which a document is dropped as toxic.
 REJECT = toxicity.THRESHOLD
@@ -47,12 +50,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("decontamination", drop_leaks), ("secrets", redact_secrets), ("byte bpe", encode)]
 
-#: SQL can't express the learnt and sketched stages; tests/test_pipeline.py holds them against known decisions on a small table (no document is toxic there).
+#: SQL can't express the learnt and sketched stages; tests/llm/test_pipeline.py holds them against known decisions on a small table (no document is toxic there).
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents; what a stage keeps is written to the shared folder once, as the next one reads it several times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = shared_checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
