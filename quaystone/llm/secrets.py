@@ -35,7 +35,7 @@ KINDS = ("assign", "access", "hex", "random")
 #: Documents in the sample of ordinary identifiers, random strings of each alphabet.
 SAMPLE_DOCS, SAMPLE_STRINGS = 3000, 1000
 #: Natural logarithm of the odds that a token must reach, in all and for each transition.
-LEAST_ODDS, LEAST_MEAN = 9.0, 0.45
+LEAST_ODDS, LEAST_MEAN = 12.0, 0.45
 SPAN = "array<struct<start:bigint,end:bigint,rank:int>>"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
 SYMBOLS = 65  # of the alphabet, and one for + and /
@@ -113,9 +113,9 @@ def _odds(token: Column, ratios: list[float]) -> Column:
 def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id", ratios: list[float] | None = None, spans: str = "spans") -> DataFrame:
     """Add ``spans``: array of (start, end, rank), rank an index into KINDS, by start, then rank."""
     ratios = ratios if ratios is not None else train(docs, text, id_column)
-    # The caller's columns travel as one, so that their names can't clash with those used here.
+    # The caller's columns go by number meanwhile, so that their names can't clash with those used here.
     kept = [c for c in docs.columns if c.lower() != spans.lower()]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"u{i}") for i, c in enumerate(kept)), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     body = F.col("__text")
     # Plain substring tests spare most texts the longer patterns.
     lower = F.lower(body)
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id", ratios:
     free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     added = F.filter("__tokens", free)
     found = F.array_sort(F.concat("__base", added), lambda a, b: F.signum((a["start"] - b["start"]) * 8 + (a["rank"] - b["rank"])).cast("int"))
-    return fixed(out, __found=found).select(*(F.col(f"__row.`{c}`") for c in kept), F.col("__found").alias(spans))
+    return fixed(out, __found=found).select(*(F.col(f"u{i}").alias(c) for i, c in enumerate(kept)), F.col("__found").alias(spans))
 
 
 def _least_length(ratios: list[float]) -> int:

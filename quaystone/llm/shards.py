@@ -57,10 +57,9 @@ def splitters(df: DataFrame, totals, ranges: int) -> list[tuple[str, int | None]
 def shard_by_bytes(df: DataFrame, shards: int = 40, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Replace the text by size, text_crc32, law, shard, slot (gapless from 0) and grown_shard (null under this law)."""
     outputs = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    # The caller's columns travel as one, so that their names can't clash with those used here.
+    # The caller's columns go by number meanwhile, so that their names can't clash with those used here.
     kept = [c for c in df.columns if c.lower() not in outputs and c != text]
-    own = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(None)
-    base = measured(df.select(own.alias("__row"), F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("__id"), F.col(text).alias("__text")), "__text")
+    base = measured(df.select(*(F.col(f"`{c}`").alias(f"u{i}") for i, c in enumerate(kept)), F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("__id"), F.col(text).alias("__text")), "__text")
     totals = base.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     ranges = min(MOST_RANGES, max(LEAST_RANGES, 4 * shards, totals["rows"] // RANGE_ROWS))
     marks = splitters(base, totals, ranges) if totals["rows"] else []
@@ -94,4 +93,4 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, id_column: str = "doc_id", t
     placed = placed.withColumns({"shard": shard, "__rank": F.col("__rank") + F.col("__rows_before")})
     counts = placed.groupBy("shard").agg(F.min("__rank").alias("__first"))  # one row a shard
     out = placed.join(F.broadcast(counts), "shard").withColumns({"slot": F.col("__rank") - F.col("__first"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
-    return out.select(*(F.col(f"__row.`{c}`") for c in kept), *outputs)
+    return out.select(*(F.col(f"u{i}").alias(c) for i, c in enumerate(kept)), *outputs)
