@@ -7,10 +7,13 @@ companies. Catalyst plans every query; nothing is collected on the driver.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import LEGAL_SUFFIXES
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 
 
@@ -32,8 +35,6 @@ class Duck:
     median = staticmethod(lambda x: f"quantile_cont({x}, 0.5)")
 
 
-# Legal suffixes dropped from the end of a name.
-SUFFIXES = ("PRIVATE LIMITED COMPANY", "PUBLIC LIMITED COMPANY", "LIMITED LIABILITY PARTNERSHIP", "LIMITED PARTNERSHIP", "COMMUNITY INTEREST COMPANY", "LIMITED", "LTD", "PLC", "LLP", "LP", "CIC", "COMPANY", "CO", "INCORPORATED", "INC", "CORPORATION")
 # Words after which a name is another one; the name is cut there.
 ALIAS = "T\\s*/\\s*A|TRADING\\s+AS|FORMERLY"
 DAY = "CAST(o_orderdate AS DATE)"
@@ -42,12 +43,12 @@ STATUS = "CASE o_orderstatus WHEN 'F' THEN 'Satisfied' WHEN 'O' THEN 'Unsatisfie
 
 
 def name(d, x: str) -> str:
-    """C1 on ASCII names."""
+    """C1 on names in Latin letters, whose marks the engines drop alike."""
     x = f"replace(upper(coalesce({x}, '')), '&', ' AND ')"
     x = d.replace_all(x, "\\([^)]*\\)", " ")
     x = d.replace_all(x, f"(^|[^A-Z0-9_])({ALIAS})([^A-Z0-9_][\\s\\S]*)?\\z", " ")
     x = f"trim({d.replace_all(x, '[^A-Z0-9]+', ' ')})"
-    return f"trim({d.replace_all(f"concat(' ', {x})", f'( ({"|".join(SUFFIXES)}))+$', '')})"
+    return f"trim({d.replace_all(f"concat(' ', {x})", f'( ({"|".join(LEGAL_SUFFIXES)}))+$', '')})"
 
 
 def amount(d, x: str) -> str:
@@ -109,9 +110,14 @@ def scored(d) -> str:
     return "WITH s AS (SELECT doc_id, toxic AS y, CAST((doc_id * 37) % 100 + 0.5 AS DOUBLE) / 100 AS p FROM labels)\n"
 
 
+def order_names(d) -> str:
+    """A former name for each order of a company."""
+    return f"SELECT o_custkey AS number, CASE WHEN o_orderkey % 11 <> 0 THEN {DAY} END AS change, concat('Name ', CAST(o_orderkey % 5 AS VARCHAR(20)), ' LTD') AS raw FROM orders"
+
+
 def name_periods(d, former: str | None = None) -> str:
     """Half-open periods of former and current names; changes on or before incorporation, or on a day already taken, count as invalid."""
-    former = former or f"SELECT o_custkey AS number, CASE WHEN o_orderkey % 11 <> 0 THEN {DAY} END AS change, concat('Name ', CAST(o_orderkey % 5 AS VARCHAR(20)), ' LTD') AS raw FROM orders"
+    former = former or order_names(d)
     return f"""WITH former AS (SELECT f.number, f.change, {name(d, 'f.raw')} AS nm, c.inc FROM ({former}) f JOIN ({companies(d)}) c ON f.number = c.number WHERE f.change IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY number, change ORDER BY nm) AS r FROM former WHERE nm <> '' AND (inc IS NULL OR change > inc)),
 kept AS (SELECT number, change, nm, inc FROM ranked WHERE r = 1)
@@ -213,9 +219,9 @@ PLANS: dict[str, Callable] = {
     "postcode_normalize": lambda d: f"SELECT c_custkey, {d.replace_all("upper(coalesce(concat(c_mktsegment, ' - ', c_name), ''))", '[^A-Z0-9]+', '')} AS postcode FROM customer",
     "coded_values": lambda d: f"SELECT o_orderkey, {STATUS} AS status FROM orders",
     "amount_parse": lambda d: f"SELECT o_orderkey, {amount(d, 'raw')} AS amount, trim(raw) <> '' AND {amount(d, 'raw')} IS NULL AS invalid FROM (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'bad' WHEN 1 THEN concat('(', CAST(o_orderkey AS VARCHAR(20)), ')') WHEN 2 THEN concat(' (£', CAST(o_orderkey AS VARCHAR(20)), ',000.50) ') WHEN 3 THEN ' ' ELSE concat('£', CAST(o_orderkey AS VARCHAR(20)), ',000') END AS raw FROM orders) x",
-    "bucket_amount": lambda d: "SELECT CASE WHEN o_totalprice IS NULL THEN 'amount_missing' WHEN o_totalprice < 500 THEN 'under_500' WHEN o_totalprice < 1000 THEN '500_to_999' WHEN o_totalprice < 5000 THEN '1000_to_4999' WHEN o_totalprice < 25000 THEN '5000_to_24999' ELSE '25000_plus' END AS band, count(*) AS n FROM orders GROUP BY 1",
-    "bucket_lag": lambda d: f"SELECT CASE WHEN lag < 0 THEN 'negative' WHEN lag < 1 THEN '0' WHEN lag < 2 THEN '1' WHEN lag < 6 THEN '2_to_5' WHEN lag < 31 THEN '6_to_30' ELSE '31_plus' END AS band, count(*) AS n FROM (SELECT {d.days('CAST(l_shipdate AS DATE)', DAY)} AS lag FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x GROUP BY 1",
-    "bucket_age": lambda d: f"SELECT CASE WHEN m > 1 AND m <= 12 THEN '1_to_12' WHEN m > 12 AND m <= 24 THEN '12_to_24' WHEN m > 24 AND m <= 36 THEN '24_to_36' WHEN m > 36 AND m <= 48 THEN '36_to_48' ELSE 'outside_or_missing' END AS band, count(*) AS n FROM (SELECT {d.days(OBSERVED, DAY)} / 30.4375 AS m FROM orders) x GROUP BY 1",
+    "bucket_amount": lambda d: "SELECT CASE WHEN o_totalprice IS NULL THEN 'amount_missing' WHEN o_totalprice < 500 THEN 'under_500' WHEN o_totalprice < 1000 THEN '500_999' WHEN o_totalprice < 5000 THEN '1000_4999' WHEN o_totalprice < 25000 THEN '5000_24999' ELSE '25000_plus' END AS band, count(*) AS n FROM orders GROUP BY 1",
+    "bucket_lag": lambda d: f"SELECT CASE WHEN lag < 0 THEN 'before_judgment' WHEN lag < 1 THEN 'same_day' WHEN lag < 2 THEN 'one_day' WHEN lag < 6 THEN '2_to_5_days' WHEN lag < 31 THEN '6_to_30_days' ELSE '31_plus_days' END AS band, count(*) AS n FROM (SELECT {d.days('CAST(l_shipdate AS DATE)', DAY)} AS lag FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x GROUP BY 1",
+    "bucket_age": lambda d: f"SELECT CASE WHEN m > 1 AND m <= 12 THEN 'over_1_to_12' WHEN m > 12 AND m <= 24 THEN 'over_12_to_24' WHEN m > 24 AND m <= 36 THEN 'over_24_to_36' WHEN m > 36 AND m <= 48 THEN 'over_36_to_48' ELSE 'outside_or_missing' END AS band, count(*) AS n FROM (SELECT {d.days(OBSERVED, DAY)} / 30.4375 AS m FROM orders) x GROUP BY 1",
     "lag_and_age": lambda d: f"SELECT l_orderkey, l_linenumber, CAST({d.days('CAST(l_shipdate AS DATE)', DAY)} AS BIGINT) AS lag_days, CAST({d.days(OBSERVED, DAY)} AS BIGINT) AS age_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "name_periods": name_periods,
     "systematic_sample": systematic_sample,
@@ -253,15 +259,17 @@ PLANS: dict[str, Callable] = {
 }
 
 
+def own_views(spark: SparkSession, sf_dir: str, text: str) -> str:
+    """The text over views of names of their own, so that a user's views stay; read by Spark alone."""
+    for name in TABLES:
+        if re.search(rf"\b(FROM|JOIN) {name}\b", text):
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"quaystone_{name}")
+            text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 quaystone_{name}", text)
+    return text.replace("VARCHAR(20)", "STRING").replace("VARCHAR(4)", "STRING")
+
+
 def _query(plan: Callable) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = plan(Spark)
-        for table in TABLES:
-            if table in text:
-                spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-        return spark.sql(text.replace("VARCHAR(20)", "STRING").replace("VARCHAR(4)", "STRING"))
-
-    return run
+    return lambda spark, sf_dir: spark.sql(own_views(spark, sf_dir, plan(Spark)))
 
 
 QUERIES = {key: _query(plan) for key, plan in PLANS.items()}
