@@ -70,8 +70,11 @@ def _symbols(token: Column) -> Column:
 
 
 def _transitions(tokens: DataFrame, name: str) -> DataFrame:
-    pairs = tokens.where(F.length("token") > 1).select(_symbols(F.col("token")).alias("s")).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.get("s", i) * SYMBOLS + F.get("s", i + 1))).alias("pair"))
-    return pairs.groupBy("pair").agg(F.count("*").alias(name))
+    """Counts of the transitions of tokens that stand n times; equal tokens are counted first, so that each is cut up once."""
+    distinct = tokens.where(F.length("token") > 1).groupBy("token").agg(F.sum("n").alias("n"))
+    rows = fixed(distinct, s=_symbols(F.col("token")))
+    pairs = rows.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.get("s", i) * SYMBOLS + F.get("s", i + 1))).alias("pair"))
+    return pairs.groupBy("pair").agg(F.sum("n").alias(name))
 
 
 def train(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> list[float]:
@@ -79,17 +82,16 @@ def train(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> lis
     total = docs.count()
     kept = max(1, round((1 << 20) * min(1.0, SAMPLE_DOCS / max(total, 1))))
     chosen = docs.where(F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 20)) < kept).select(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
-    next_word = lambda i: F.get("w", (i + 1) % F.size("w"))
-    number = lambda i: F.pmod(F.xxhash64(F.get("w", i)), F.lit(10_000)).cast("string")
-
-    def variants(w: Column, i: Column) -> Column:
-        return F.array(w, F.concat(w, F.lit("_"), next_word(i)), F.concat(w, F.initcap(next_word(i))), F.concat(w, F.lit("-"), next_word(i)), F.concat(w, F.lit("_"), number(i)), F.concat(w, F.lit("/"), next_word(i), F.lit("-20"), F.substr(number(i), F.lit(1), F.lit(2)), F.lit("-01")), F.upper(w), F.concat(F.upper(w), F.lit("_"), F.upper(next_word(i))))
-
+    # Each word with the one behind it, equal pairs counted once; the last word's neighbour is the first.
     chosen = fixed(chosen, w=F.col("w"))
-    ordinary = chosen.where(F.size("w") > 0).select(F.explode(F.flatten(F.transform("w", variants))).alias("token"))
+    turned = F.concat(F.slice("w", 2, F.size("w")), F.slice("w", 1, 1))
+    pairs = chosen.where(F.size("w") > 0).select(F.explode(F.arrays_zip(F.col("w").alias("a"), turned.alias("b"))).alias("p")).select("p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    w, after, number = F.col("a"), F.col("b"), F.pmod(F.xxhash64("a"), F.lit(10_000)).cast("string")
+    variants = F.array(w, F.concat(w, F.lit("_"), after), F.concat(w, F.initcap(after)), F.concat(w, F.lit("-"), after), F.concat(w, F.lit("_"), number), F.concat(w, F.lit("/"), after, F.lit("-20"), F.substr(number, F.lit(1), F.lit(2)), F.lit("-01")), F.upper(w), F.concat(F.upper(w), F.lit("_"), F.upper(after)))
+    ordinary = pairs.select("n", F.explode(variants).alias("token"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
-    strings = docs.sparkSession.range(SAMPLE_STRINGS).select(F.explode(F.array(digest, F.upper(digest), base64, F.translate(base64, "+/", "k7"), F.translate(F.upper(base64), "+/0189", "ABCDEF"))).alias("token"))
+    strings = docs.sparkSession.range(SAMPLE_STRINGS).select(F.explode(F.array(digest, F.upper(digest), base64, F.translate(base64, "+/", "k7"), F.translate(F.upper(base64), "+/0189", "ABCDEF"))).alias("token")).withColumn("n", F.lit(1))
     counts = _transitions(strings, "random").join(_transitions(ordinary, "plain"), "pair", "full").na.fill(0).collect()  # at most SYMBOLS ** 2 rows
     grids = [[0.5] * SYMBOLS**2, [0.5] * SYMBOLS**2]
     for row in counts:
