@@ -36,6 +36,8 @@ KINDS = ("assign", "access", "hex", "random")
 SAMPLE_DOCS, SAMPLE_STRINGS = 3000, 1000
 #: Natural logarithm of the odds that a token must reach, in all and for each transition.
 LEAST_ODDS, LEAST_MEAN = 12.0, 0.45
+#: Share of the uniform distribution in both chains, so that no single transition decides on a token.
+FLOOR = 0.02
 SPAN = "array<struct<start:bigint,end:bigint,rank:int>>"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
 SYMBOLS = 65  # of the alphabet, and one for + and /
@@ -97,12 +99,11 @@ def train(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> lis
     for row in counts:
         grids[0][row["pair"]] += row["random"]
         grids[1][row["pair"]] += row["plain"]
-    out = []
-    sums = [[sum(g[a * SYMBOLS : (a + 1) * SYMBOLS]) for a in range(SYMBOLS)] for g in grids]
-    for pair in range(SYMBOLS**2):
-        a = pair // SYMBOLS
-        out.append(math.log(grids[0][pair] / sums[0][a]) - math.log(grids[1][pair] / sums[1][a]))
-    return out
+    chains = []
+    for grid in grids:
+        sums = [sum(grid[a * SYMBOLS : (a + 1) * SYMBOLS]) for a in range(SYMBOLS)]
+        chains.append([(1 - FLOOR) * n / sums[pair // SYMBOLS] + FLOOR / SYMBOLS for pair, n in enumerate(grid)])
+    return [math.log(random) - math.log(plain) for random, plain in zip(*chains, strict=True)]
 
 
 def _odds(token: Column, ratios: list[float]) -> Column:

@@ -196,6 +196,17 @@ def test_held_out_strings_are_found_and_identifiers_left(spark):
     assert sum(found[i] > 0 for i in range(120, 280)) <= 8
 
 
+def test_one_transition_does_not_decide_on_a_token(spark):
+    """Identifiers of words with rare pairs of letters, which the training sample lacks, stay; random strings are still found."""
+    draw = random.Random(17)
+    ratios = secrets.train(spark.createDataFrame([(i, prose(120)) for i in range(200)], "doc_id long, text string"))
+    assert max(ratios) < secrets.LEAST_ODDS / 2
+    words = [w for w in VOCAB if len(w) > 3][:200]
+    rare = [w[:2] + draw.choice("qxz") + draw.choice("jkw") + w[2:] for w in words]
+    found = {r["doc_id"]: r["n"] for r in secrets.scan(spark.createDataFrame(list(enumerate(rare)), "doc_id long, text string"), ratios=ratios).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert sum(n > 0 for n in found.values()) <= len(rare) // 10
+
+
 def test_sha_of_secrets_base_equals_brute_force(spark):
     texts = ["token: abcdefgh PASSWORD='12345678' api_key=x", "secret = short7 secret=longenough8", "AKIA" + "A" * 12 + " AKIAB", "a" * 31 + "g" + "0f" * 16, "😀 api-key token=éabcdefgh", ""]
     patterns = [(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), ("AKIA[A-Z0-9]+", 0, 16), ("[0-9a-f]+", 0, 32)]
