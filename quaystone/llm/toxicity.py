@@ -8,11 +8,14 @@ that under the ordinary one; a document's features are length-normalised: the me
 its strongest words and the share of strong ones. A logistic fit on labelled documents that were not
 counted turns them into a score from 0 to 1.
 
-Fitted on a bounded sample of labelled rows (at most about ``TRAIN_DOCS``, by a hash of the id, every
-fourth for the logistic fit), never on held-out rows (crc32 of the id as text, mod 4, is 2). Only the
+Every labelled row is counted and every one enters the logistic fit, never a held-out row (crc32 of the
+id as text, mod 4, is 2). Rows fall into ``FOLDS`` folds by a hash of the id; the features of a fold's rows
+come from counts of the other folds, the model that scores has the counts of all. Grams are summed and
+the fit's steps taken on the cluster; the driver holds one model at a time, which grows with the distinct
+grams of the labelled texts and with nothing else. Only the
 text enters a score. A null text counts as empty; empty texts get the score of no evidence. Null
-labels are left out, of several labels of an id the largest counts. Without labels of both classes
-every score is 0. Rows keep their number, equal texts get equal scores, and a score equal to the threshold
+labels are left out, of several labels of an id the largest counts. Without labels of both classes,
+or with too few for the folds to have both, every score is 0. Rows keep their number, equal texts get equal scores, and a score equal to the threshold
 counts as toxic; the text stays, other columns pass through, and a column named like an output (in any
 case of letters) is replaced. Texts are scored whole; an empty table gives no rows.
 """
@@ -23,19 +26,27 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_chunks
+from .common import free_shuffles, row_chunks, shared_checkpoint
 
 ORDER = 5
 CODE_BITS = 12
 DISCOUNT = 0.75
-TRAIN_DOCS = 12_000
+FOLDS = 4
+#: Characters of text whose words a task counts before it emits their grams.
+COUNTED_CHARS = 4 << 20
+#: Bits that tell labelled ids apart before texts are exchanged.
+ID_BITS = 1 << 27
+#: Columns of the features.
+FEATURES = [f"x{k}" for k in range(6)]
 THRESHOLD = 0.3
 STRONG = 2.5
 CACHE_WORDS = 300_000
@@ -91,7 +102,7 @@ class Model:
         for lo in range(0, len(new), 50_000):
             part = new[lo : lo + 50_000]
             cache.update(zip(part, self.word_ratios(part).tolist(), strict=True))
-        out = np.zeros((len(rows), 6))
+        out = np.zeros((len(rows), len(FEATURES)))
         for i, row in enumerate(rows):
             if row:
                 x = np.fromiter(map(cache.__getitem__, row), float, len(row))
@@ -136,14 +147,34 @@ def fit_counts(keys: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> Model:
     return Model(keys, logs[0] - logs[1], contexts, backs[0] - backs[1])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Curvature and slope of the log-likelihood over these rows, flat; sums over parts of the rows add up."""
     x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.concatenate([((x * (p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (y - p)])
+
+
+def fit_logistic(rows: DataFrame, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of ``FEATURES`` and a constant for ``y``: Newton's steps, each summed over all rows where they lie."""
+    size = len(FEATURES) + 1
+    w = np.zeros(size)
+    penalty = np.full(size, ridge)
     penalty[-1] = 1e-6
+
+    def step_sums(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size * size + size)
+            for b in batches:
+                total += newton_sums(np.column_stack([b.column(c).to_numpy() for c in FEATURES]), b.column("y").to_numpy().astype(float), w)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tolist()])], names=["part", "sums"])
+
+        found = rows.mapInArrow(run, "part int, sums array<double>").collect()  # one row a task
+        return np.sum([r["sums"] for r in sorted(found, key=lambda r: r["part"])], axis=0)
+
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        sums = step_sums(w)
+        curvature, slope = sums[: size * size].reshape(size, size), sums[size * size :]
+        step = np.linalg.solve(curvature + np.diag(penalty), slope - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -154,48 +185,96 @@ def held_out(id_column: str = "doc_id"):
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(id_column).cast("string"), F.lit("")), "UTF-8")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
-    """Fit on a bounded sample of labelled rows; None without both classes."""
-    known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column)).groupBy(id_column).agg(F.max(label).cast("int").alias("__y"))
-    total = known.count()
-    if not total:
-        return None
-    scale = 1 << 20
-    known = known.where(F.pmod(F.xxhash64(F.col(id_column), F.lit(6)), F.lit(scale)) < round(scale * min(1.0, TRAIN_DOCS / total)))
-    known = known.withColumn("__fit", F.pmod(F.xxhash64(F.col(id_column), F.lit(7)), F.lit(4)) == 0)
-    sample = docs.select(F.col(id_column), F.col(text).alias("__t")).join(F.broadcast(known), id_column).select("__t", "__y", "__fit")  # at most about TRAIN_DOCS rows
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole, lo, hi in ((b, lo, hi) for b in batches for lo, hi in row_chunks(b.column(0))):
-            batch, by = whole.slice(lo, hi - lo), (Counter(), Counter())
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by[0 if y else 1].update(words(t))
-            vocabulary = list(by[0].keys() | by[1].keys())
-            if vocabulary:
-                keys, sizes = grams(vocabulary)
-                unique, inverse = np.unique(keys, return_inverse=True)
-                sums = [np.bincount(inverse, weights=np.repeat([c[w] for w in vocabulary], sizes), minlength=len(unique)).astype(np.int64) for c in by]
-                yield pa.RecordBatch.from_arrays([pa.array(unique), *map(pa.array, sums)], names=["gram", "toxic", "plain"])
-
-    counted = sample.where(~F.col("__fit")).select("__t", "__y").mapInArrow(count, "gram long, toxic long, plain long")
-    sums = counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")).toArrow()  # bounded by the sample's text
+def _counts(rows: DataFrame) -> DataFrame:
+    """Sums of each gram by fold and class, from rows of text, label and fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, tuple[Counter, Counter]] = {}
+        size = 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for fold, counters in sorted(by.items()):
+                vocabulary = list(counters[0].keys() | counters[1].keys())
+                if vocabulary:
+                    keys, sizes = grams(vocabulary)
+                    unique, inverse = np.unique(keys, return_inverse=True)
+                    sums = [np.bincount(inverse, weights=np.repeat([c[w] for w in vocabulary], sizes), minlength=len(unique)).astype(np.int64) for c in counters]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), fold, np.int32)), pa.array(unique), *map(pa.array, sums)], names=["fold", "gram", "toxic", "plain"])
+            by.clear()
+
+        for batch in batches:
+            for lo, hi in row_chunks(batch.column(0)):
+                part = batch.slice(lo, hi - lo)
+                for t, y, fold in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    by.setdefault(fold, (Counter(), Counter()))[0 if y else 1].update(words(t))
+                    size += len(t or "")
+                if size >= COUNTED_CHARS:
+                    yield from emit()
+                    size = 0
+        yield from emit()
+
+    counted = rows.mapInArrow(run, "fold int, gram long, toxic long, plain long")
+    return counted.groupBy("fold", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+
+
+def _model(counts: DataFrame) -> Model | None:
+    """The model of these counts; None without both classes."""
+    sums = counts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")).toArrow()  # one row a distinct gram
     keys, toxic, plain = (sums.column(i).to_numpy() for i in range(3))
     if not len(keys) or not toxic.any() or not plain.any():
         return None
-    model = fit_counts(keys, toxic.astype(float), plain.astype(float))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    return fit_counts(keys, toxic.astype(float), plain.astype(float))
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
-        for batch in batches:
-            x = shipped.value.features(batch.column(0).to_pylist(), cache)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=["y", *(f"x{k}" for k in range(x.shape[1]))])
 
-    rows = sample.where("__fit").select("__t", "__y").mapInArrow(features, "y int, " + ", ".join(f"x{k} double" for k in range(6))).toArrow()
-    y = rows.column(0).to_numpy().astype(float)
-    if not len(y) or y.min() == y.max():
+def _perhaps_in(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows whose ``__id`` is in ``known``, and few others: one bit a hash, at most 16 MB whatever ``known`` holds. A join has to follow."""
+    spot = F.pmod(F.xxhash64("__id", F.lit(9)), F.lit(ID_BITS))
+    bits = shared_checkpoint(known.groupBy(F.bitmap_bucket_number(spot).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("__bits")))
+    at = F.bitmap_bit_position(spot)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+    found = rows.withColumn("__bucket", F.bitmap_bucket_number(spot)).join(F.broadcast(bits), "__bucket").where(there)
+    return found.select(rows.columns)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
+    """Fit on all labelled rows that are not held out; None without both classes."""
+    known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column)).groupBy(id_column).agg(F.max(label).cast("int").alias("y"))
+    known = shared_checkpoint(known.select(F.col(id_column).alias("__id"), "y"))
+    if known.isEmpty():
+        return None
+    fold = F.pmod(F.xxhash64(F.col(id_column), F.lit(7)), F.lit(FOLDS)).cast("int")
+    free = docs.where(F.col(id_column).isNotNull() & ~held_out(id_column)).select(F.col(id_column).alias("__id"), F.col(text).alias("__t"), fold.alias("__fold"))
+    if free.schema["__id"].dataType == known.schema["__id"].dataType:  # hashes of different types differ
+        free = _perhaps_in(free, known)
+    counts = shared_checkpoint(_counts(free.join(known.hint("merge"), "__id").select("__t", "y", "__fold")))
+    free_shuffles(docs.sparkSession)
+    parts = []
+    for k in range(FOLDS):
+        if (others := _model(counts.where(F.col("fold") != k))) is None:
+            continue
+        shipped = docs.sparkSession.sparkContext.broadcast(others)
+
+        def features(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            cache: dict[str, float] = {}
+            for batch in batches:
+                for lo, hi in row_chunks(batch.column(1)):
+                    part = batch.slice(lo, hi - lo)
+                    x = shipped.value.features(part.column(1).to_pylist(), cache)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["__id", *FEATURES])
+
+        rows = free.where(F.col("__fold") == k).select("__id", "__t")
+        fields = [rows.schema["__id"], *(T.StructField(c, T.DoubleType()) for c in FEATURES)]
+        # Features come before labels are joined, so that numbers are exchanged and no texts.
+        parts.append(shared_checkpoint(rows.mapInArrow(features, T.StructType(fields)).join(known, "__id").select("y", *FEATURES)))
+        shipped.unpersist()
+    model = _model(counts)
+    if model is None or not parts:
+        return None
+    rows = reduce(DataFrame.unionAll, parts).coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    if rows.select("y").distinct().count() < 2:
         return None
-    model.weights = fit_logistic(np.column_stack([rows.column(k + 1).to_numpy() for k in range(6)]), y)
+    model.weights = fit_logistic(rows)
     return model
 
 
