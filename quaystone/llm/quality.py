@@ -3,8 +3,9 @@
 Fertility comes from public vocabularies: code points per token and entropy of the tokens of a
 byte-level vocabulary, and the share of code points for which a piece vocabulary falls back to
 bytes. A document outside its script's band is rejected. ``fit_bands`` takes the bands from the tails
-of documents labelled good; scripts with too few of these keep the wide ``BANDS``, which only reject
-what hardly is text. A null text counts as empty: no words, so the base rule rejects it. Rows keep
+of all documents labelled good, at exact ranks; scripts with too few of these keep the wide ``BANDS``,
+which only reject what hardly is text. ``measure`` takes a text's counts and measures once, for the fit
+(``bands_of``) and for the verdict (``with_verdict``). A null text counts as empty: no words, so the base rule rejects it. Rows keep
 their number, repeated rows get equal results; the text is dropped, other columns pass through, and a
 column named like an output (in any case of letters) is replaced. Texts are taken whole, a long one
 alone; a value on a band's edge is inside; an empty table gives no rows.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import byte_bpe
-from .common import mix, row_chunks, span_hashes, text_view, word_spans
+from .common import mix, row_chunks, shared_checkpoint, span_hashes, text_view, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -39,8 +40,10 @@ SCRIPTS = {
     "kana": ((0x3040, 0x30FF),),
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)),
 }
-#: Labelled documents that bands are fitted on, at most about; rows that a script's band needs; tails cut off at both ends, and the part of the rest's width that is added outside.
-FIT_DOCS, LEAST_ROWS, TAIL, MARGIN = 12_000, 50, 0.001, 0.1
+#: Rows that a script's band needs; tails cut off at both ends, and the part of the rest's width that is added outside.
+LEAST_ROWS, TAIL, MARGIN = 50, 0.001, 0.1
+#: Columns that bands bound, and the bits of a value that a pass over them tells apart.
+MEASURES, DIGIT = ("chars_per_token", "fallback_share", "token_entropy"), 12
 #: Least and most code points a token, most share of byte fallback, least bits of token entropy: wide ones, where none are fitted.
 BANDS = {
     "latin": (1.3, 12.0, 0.20, 2.5),
@@ -165,34 +168,90 @@ def fertility(column: pa.Array, ranks: str, pieces: str) -> dict[str, np.ndarray
     }
 
 
-def fit_bands(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", ranks: str | None = None, pieces: str | None = None) -> dict[str, tuple]:
-    """Bands of each script from documents labelled good (1) that pass the base rule: a bounded sample of labelled ids by hash."""
+def ranked_values(df: DataFrame, wanted: dict[tuple[str, str], set[int]], group: str = "script") -> dict[tuple[str, str, int], float]:
+    """The values at 0-based ranks: {(group, column): ranks} to {(group, column, rank): value}, exact for any number of rows.
+
+    A radix selection: each pass counts the next ``DIGIT`` bits of the values that share the bits found
+    so far, so that no task sorts or holds a group's values.
+    """
+    state = {(g, c, r): (0, r) for (g, c), ranks in wanted.items() for r in ranks}  # bits found, rank among the values that share them
+    done = 0
+    while state and done < 64:
+        step = min(DIGIT, 64 - done)
+        below = 64 - done - step
+        open_bits: dict[tuple[str, str], set[int]] = {}
+        for (g, c, _), (found, _) in state.items():
+            open_bits.setdefault((g, c), set()).add(found)
+        targets = [(i, g, c, sorted(found)) for i, ((g, c), found) in enumerate(open_bits.items())]
+
+        def run(batches: Iterator[pa.RecordBatch], targets=targets, done=done, step=step, below=below) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                owners = np.array(batch.column(group).to_pylist(), object)
+                for i, g, c, found in targets:
+                    bits = batch.column(c).to_numpy()[owners == g].view(np.int64)
+                    bits = (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.uint64) ^ np.uint64(1 << 63)  # in the values' order
+                    tops = bits >> np.uint64(below)
+                    if done:
+                        tops = tops[np.isin(tops >> np.uint64(step), np.array(found, np.uint64))]
+                    keys, counts = np.unique(tops, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["target", "bits", "n"])
+
+        sums = df.select(group, *MEASURES).mapInArrow(run, "target int, bits long, n long").groupBy("target", "bits").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** DIGIT rows a group, column and bits found
+        which, keys, counts = (sums.column(k).to_numpy() for k in range(3))
+        keys = keys.view(np.uint64)
+        at = {(g, c): i for i, g, c, _ in targets}
+        for (g, c, r), (found, rank) in list(state.items()):
+            mine = (which == at[g, c]) & ((keys >> np.uint64(step)) == np.uint64(found) if done else True)
+            order = np.argsort(keys[mine])
+            upto = np.cumsum(counts[mine][order])
+            k = int(np.searchsorted(upto, rank, side="right"))
+            state[g, c, r] = (int(keys[mine][order][k]), rank - (int(upto[k - 1]) if k else 0))
+        done += step
+    out = {}
+    for key, (found, _) in state.items():
+        bits = np.array([found ^ (1 << 63)], np.uint64).view(np.int64)
+        out[key] = float((bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)[0])
+    return out
+
+
+def bands_of(measured: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: str = "quality") -> dict[str, tuple]:
+    """Bands of each script from all rows of ``measure`` that are labelled good (1) and pass the base rule."""
     good = labels.where((F.col(label) == 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id")).distinct()
-    total = good.count()
-    scale = 1 << 20
-    chosen = good.where(F.pmod(F.xxhash64("__id", F.lit(8)), F.lit(scale)) < round(scale * min(1.0, FIT_DOCS / max(total, 1))))
-    sample = df.select(F.col(id_column).alias("__id"), F.col(text).alias("t")).join(F.broadcast(chosen), "__id")  # about FIT_DOCS ids
-    measured = quality_rules(sample.select("t"), "t", ranks, pieces, bands={}).where("not base_failed")
-    ends = F.array(F.lit(TAIL), F.lit(1 - TAIL))
-    rows = measured.groupBy("script").agg(F.count("*").alias("n"), *(F.percentile(c, ends).alias(c) for c in ("chars_per_token", "fallback_share", "token_entropy"))).where(F.col("n") >= LEAST_ROWS).collect()  # one row a script
+    rows = measured.where(~F.col("base_failed")).select(F.col(id_column).alias("__id"), "script", *MEASURES).join(good, "__id").select("script", *MEASURES)
+    rows = shared_checkpoint(rows)
+    sizes = {r["script"]: r["n"] for r in rows.groupBy("script").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).collect()}  # one row a script
+    places = {g: ((n - 1) * TAIL, (n - 1) * (1 - TAIL)) for g, n in sizes.items()}
+    around = lambda p: (int(np.floor(p)), int(np.ceil(p)))
+    values = ranked_values(rows, {(g, c): {k for p in places[g] for k in around(p)} for g in sizes for c in MEASURES})
+
+    def ends(g: str, c: str) -> list[float]:
+        found = []
+        for p in places[g]:
+            lo, hi = around(p)
+            found.append(values[g, c, lo] if lo == hi else (hi - p) * values[g, c, lo] + (p - lo) * values[g, c, hi])
+        return found
+
     out = dict(BANDS)
-    for r in rows:
-        (a, b), (c, d), (e, f) = r["chars_per_token"], r["fallback_share"], r["token_entropy"]
-        out[r["script"]] = (a - MARGIN * (b - a), b + MARGIN * (b - a), d + max(0.02, MARGIN * (d - c)), e - MARGIN * (f - e))
+    for g in sizes:
+        (a, b), (c, d), (e, f) = (ends(g, m) for m in MEASURES)
+        out[g] = (a - MARGIN * (b - a), b + MARGIN * (b - a), d + max(0.02, MARGIN * (d - c)), e - MARGIN * (f - e))
     return out
 
 
-def quality_rules(df: DataFrame, text: str = "text", ranks: str | None = None, pieces: str | None = None, bands: dict[str, tuple] | None = None) -> DataFrame:
-    """Replace the text by the counts, base_failed, kept, and the measures behind the verdict."""
-    ranks, pieces, bands = ranks or byte_bpe.default_path(), pieces or default_pieces(), BANDS if bands is None else bands
+def fit_bands(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", ranks: str | None = None, pieces: str | None = None) -> dict[str, tuple]:
+    """Bands of each script from all documents labelled good (1) that pass the base rule."""
+    return bands_of(measure(df.select(id_column, text), text, ranks, pieces), labels, id_column, label)
+
+
+def measure(df: DataFrame, text: str = "text", ranks: str | None = None, pieces: str | None = None) -> DataFrame:
+    """Replace the text by the counts, base_failed and the measures behind the verdict."""
+    ranks, pieces = ranks or byte_bpe.default_path(), pieces or default_pieces()
     names = ["none", *SCRIPTS]
-    limits = np.array([bands.get(k, OTHER_BAND) for k in names])
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    doubles = ["chars_per_token", "fallback_share", "token_entropy"]
-    fields = [*(T.StructField(k, T.LongType()) for k in longs), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), *(T.StructField(k, T.DoubleType()) for k in doubles), T.StructField("script", T.StringType())]
+    fields = [*(T.StructField(k, T.LongType()) for k in longs), T.StructField("base_failed", T.BooleanType()), *(T.StructField(k, T.DoubleType()) for k in MEASURES), T.StructField("script", T.StringType())]
     own = [f.name for f in fields]
-    kept = [f for f in df.schema.fields if f.name != text and f.name.lower() not in own]
-    keep = [f.name for f in kept]
+    passed = [f for f in df.schema.fields if f.name != text and f.name.lower() not in (*own, "kept")]
+    keep = [f.name for f in passed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,9 +260,24 @@ def quality_rules(df: DataFrame, text: str = "text", ranks: str | None = None, p
                 x = base_counts(part.column(text))
                 y = fertility(part.column(text), ranks, pieces)
                 failed = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
-                least, most, share, bits = limits[y["script"]].T
-                inside = (y["chars_per_token"] >= least) & (y["chars_per_token"] <= most) & (y["fallback_share"] <= share) & (y["token_entropy"] >= bits)
-                values = [*(pa.array(x[k]) for k in longs), pa.array(failed), pa.array(inside & ~failed), *(pa.array(y[k]) for k in doubles), pa.array([names[k] for k in y["script"].tolist()], pa.string())]
+                values = [*(pa.array(x[k]) for k in longs), pa.array(failed), *(pa.array(y[k]) for k in MEASURES), pa.array([names[k] for k in y["script"].tolist()], pa.string())]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *values], names=[*keep, *own])
 
-    return df.mapInArrow(run, T.StructType([*kept, *fields]))
+    return df.mapInArrow(run, T.StructType([*passed, *fields]))
+
+
+def with_verdict(measured: DataFrame, bands: dict[str, tuple]) -> DataFrame:
+    """Add kept to rows of ``measure``: the base rule and the script's band hold."""
+    limits = [[F.lit(float(x)) for x in bands.get(k, OTHER_BAND)] for k in ("none", *SCRIPTS)]
+    inside = F.lit(False)
+    for script, (least, most, share, bits) in zip(("none", *SCRIPTS), limits, strict=True):
+        holds = F.col("chars_per_token").between(least, most) & (F.col("fallback_share") <= share) & (F.col("token_entropy") >= bits)
+        inside = F.when(F.col("script") == script, holds).otherwise(inside)
+    names = measured.columns
+    at = names.index("base_failed") + 1
+    return measured.select(*(F.col(f"`{c}`") for c in names[:at]), (inside & ~F.col("base_failed")).alias("kept"), *names[at:])
+
+
+def quality_rules(df: DataFrame, text: str = "text", ranks: str | None = None, pieces: str | None = None, bands: dict[str, tuple] | None = None) -> DataFrame:
+    """Replace the text by the counts, base_failed, kept, and the measures behind the verdict."""
+    return with_verdict(measure(df, text, ranks, pieces), BANDS if bands is None else bands)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, decontaminate, near_dups, quality, repeats, secrets, shards, token_counts, toxicity
-from .common import table
+from .common import shared_checkpoint, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.quality_rules(docs, bands=quality.fit_bands(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+    measured = shared_checkpoint(quality.measure(docs))  # numbers without the text, read by the fit and the verdict
+    return quality.with_verdict(measured, quality.bands_of(measured, table(spark, sf_dir, "labels").select("doc_id", "quality")))
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_shards, op4_secrets, op5_repeats, op6_toxicity, op7_chat, op8_quality, op9_decontaminate, op10_near_dups)}
