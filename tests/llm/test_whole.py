@@ -48,7 +48,7 @@ def test_bands_come_from_every_good_row(spark):
     labels = spark.createDataFrame([(i, int(i % 50 != 0)) for i in range(n)], "doc_id long, quality int")
     rows = [r for r in quality.quality_rules(docs).collect() if r["doc_id"] % 50 and not r["base_failed"]]
     assert len(rows) > 12_500 and {r["script"] for r in rows} == {"latin"}
-    (a, b), (c, d), (e, f) = (np.quantile([r[m] for r in rows], [quality.TAIL, 1 - quality.TAIL]) for m in quality.MEASURES)
+    (a, b), (c, d), (e, f) = (np.quantile([r[m] for r in rows], [quality.TAIL, 1 - quality.TAIL]) for m in ("chars_per_token", "fallback_share", "token_entropy"))
     k = quality.MARGIN
     assert np.allclose(quality.fit_bands(docs, labels)["latin"], (a - k * (b - a), b + k * (b - a), d + max(0.02, k * (d - c)), e - k * (f - e)), rtol=0, atol=1e-12)
 
